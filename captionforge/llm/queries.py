@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, mixing, neardup
+from . import decontam, fingerprints, mixing, neardup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": mixing.op3_mixing,
     "op4_decontamination": decontam.op4_decontamination,
+    "op7_simhash_fingerprints": fingerprints.op7_simhash_fingerprints,
     "op9_simhash_near_dedup": neardup.op9_simhash_near_dedup,
 }
 
