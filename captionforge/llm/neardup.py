@@ -6,7 +6,8 @@
    size. A tile pair is skipped if its population counts differ by more than the radius (the sum over blocks of the
    gap between the two tiles' ranges; each differing bit changes one block's count by one). The pairs that remain
    are compared exactly in numpy: exclusive-or and bit counts, with the same skipping for sub-tiles.
-4. A tile pair gives no more links than it has fingerprints: those of a spanning forest, which keeps every component.
+4. Within a tile, components are found at once and one fingerprint stands for each; a tile pair gives the links of a
+   spanning forest over the components of its two tiles, which keeps every component of the whole.
 5. Components: least-label propagation with pointer jumping over the links, checkpointed each round.
 """
 
@@ -101,13 +102,13 @@ def _subs(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.minimum.reduceat(c, at, axis=0), np.maximum.reduceat(c, at, axis=0)
 
 
-def compare(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> list[tuple[int, int]]:
-    """Links of a spanning forest over the rows of a and b within radius; pairs (row of a, row of b), of one array if same."""
+def compare(a: np.ndarray, b: np.ndarray, radius: int, root: np.ndarray, same: bool) -> list[tuple[int, int]]:
+    """Pairs (row of a, row of b) within radius that join trees of `root`, the forest over the rows of a, then b
+    (of a alone if same), until no more can be joined. root is changed in place."""
     lo_a, hi_a = _subs(a)
     lo_b, hi_b = (lo_a, hi_a) if same else _subs(b)
     off = 0 if same else len(a)
-    root = np.arange(len(a) + (0 if same else len(b)))
-    links = []
+    found = []
 
     def find(x: np.ndarray) -> np.ndarray:
         r = root[x]
@@ -132,17 +133,13 @@ def compare(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> list[tuple
                 rest += np.bitwise_count(x[p, w] ^ y[q, w])
             p, q = p[rest <= radius], q[rest <= radius]
         p, q = p + i * SUB, q + j * SUB
-        if same:
-            keep = p < q
-            p, q = p[keep], q[keep]
-        if not len(p):
-            continue
-        rp, rq = find(p), find(q + off)
-        todo = np.nonzero(rp != rq)[0]
+        todo = np.arange(len(p))
         while len(todo):
+            rp, rq = find(p[todo]), find(q[todo] + off)
+            todo, rp, rq = todo[rp != rq], rp[rp != rq], rq[rp != rq]
             # one link for each pair of trees; joining trees may make others superfluous
-            _, first = np.unique(rp[todo] * len(root) + rq[todo], return_index=True)
-            for t in todo[first]:
+            _, first = np.unique(rp * len(root) + rq, return_index=True)
+            for t in first:
                 u, v = int(rp[t]), int(rq[t])
                 while root[u] != u:
                     u = int(root[u])
@@ -150,22 +147,29 @@ def compare(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> list[tuple
                     v = int(root[v])
                 if u != v:
                     root[max(u, v)] = min(u, v)
-                    links.append((int(p[t]), int(q[t])))
-            rp, rq = find(p), find(q + off)
-            todo = np.nonzero(rp != rq)[0]
-    return links
+                    found.append((int(p[todo[t]]), int(q[todo[t]])))
+    return found
+
+
+def flat(root: np.ndarray) -> np.ndarray:
+    while True:
+        up = root[root]
+        if np.array_equal(up, root):
+            return root
+        root = up
 
 
-def tiles(fps: DataFrame, words: int) -> DataFrame:
+def tiles(fps: DataFrame, radius: int, words: int) -> DataFrame:
     """The distinct fingerprints of column fp, range-sorted by block population counts and cut into tiles.
 
-    Columns tile (long), lo and hi (array<int>, ranges of the block counts), blob (the fingerprints)."""
+    Columns tile (long), lo and hi (array<int>, ranges of the block counts), blob (the fingerprints) and tree (int32:
+    for each fingerprint the row that stands for its component within the tile)."""
     bits = [F.bit_count(F.conv(F.substring("fp", 4 * i + 1, 4), 16, 10).cast("int")) for i in range(4 * words)]
     order = [f"__p{i}" for i in range(len(bits))]
     d = fps.select("fp", *[b.alias(o) for b, o in zip(bits, order, strict=True)])
     d = d.repartitionByRange(*order, "fp").sortWithinPartitions(*order, "fp").select("fp", F.spark_partition_id().cast("long").alias("part"))
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[str] = []
         n = 0
 
@@ -173,7 +177,10 @@ def tiles(fps: DataFrame, words: int) -> DataFrame:
             nonlocal held, n
             a = pack(held[:TILE], words)
             c = block_counts(a)
-            out = pd.DataFrame({"tile": [part * (1 << 32) + n], "lo": [c.min(axis=0).tolist()], "hi": [c.max(axis=0).tolist()], "blob": [a.tobytes()]})
+            root = np.arange(len(a))
+            compare(a, a, radius, root, True)
+            tree = flat(root).astype("<i4").tobytes()
+            out = pd.DataFrame({"tile": [part * (1 << 32) + n], "lo": [c.min(axis=0).tolist()], "hi": [c.max(axis=0).tolist()], "blob": [a.tobytes()], "tree": [tree]})
             held, n = held[TILE:], n + 1
             return out
 
@@ -186,39 +193,56 @@ def tiles(fps: DataFrame, words: int) -> DataFrame:
         if held:
             yield tile(part)
 
-    return d.mapInPandas(cut, "tile long, lo array<int>, hi array<int>, blob binary")
+    return d.mapInPandas(cut, "tile long, lo array<int>, hi array<int>, blob binary, tree binary")
+
+
+def _hex(a: np.ndarray) -> list[str]:
+    return ["".join(f"{int(w):016x}" for w in row) for row in a]
+
+
+def members(t: DataFrame, words: int) -> DataFrame:
+    """fp and tree: the fingerprint that stands for its component within its tile."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            for x, tree in zip(p["blob"], p["tree"], strict=True):
+                names = np.array(_hex(np.frombuffer(x, dtype="<u8").reshape(-1, words)), dtype=object)
+                yield pd.DataFrame({"fp": names, "tree": names[np.frombuffer(tree, dtype="<i4")]})
+
+    return t.select("blob", "tree").mapInPandas(run, "fp string, tree string")
 
 
-def links(fps: DataFrame, radius: int, words: int = 1) -> DataFrame:
-    """a, b: fingerprints (hex) at radius or fewer differing bits; a spanning forest for each tile pair."""
-    t = checkpointed(tiles(fps, words))
+def links(t: DataFrame, radius: int, words: int = 1) -> DataFrame:
+    """a, b: standing fingerprints of components of different tiles that are linked; for each tile pair a spanning
+    forest, so no more links than it has components."""
     # tile pairs by their ranges alone: one row per tile of TILE fingerprints, nothing of the fingerprints themselves
     n = t.count()
     ranges = t.select("tile", "lo", "hi", F.row_number().over(W.orderBy("tile")).alias("at"))
-    a = ranges.select(F.col("tile").alias("a"), F.col("lo").alias("lo_a"), F.col("hi").alias("hi_a"), F.explode(F.sequence("at", F.lit(n))).alias("at"))
+    later = F.when(F.col("at") < n, F.sequence(F.col("at") + 1, F.lit(n)))
+    a = ranges.select(F.col("tile").alias("a"), F.col("lo").alias("lo_a"), F.col("hi").alias("hi_a"), F.explode(later).alias("at"))
     b = ranges.select(F.col("tile").alias("b"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"), "at")
     gap = F.aggregate(
         F.arrays_zip("lo_a", "hi_a", "lo_b", "hi_b"), F.lit(0),
         lambda s, x: s + F.greatest(F.lit(0), x.lo_a - x.hi_b, x.lo_b - x.hi_a),
     )
     pairs = a.join(b, "at").filter(gap <= radius).select("a", "b")
-    left = t.select(F.col("tile").alias("a"), F.col("blob").alias("blob_a"))
-    right = t.select(F.col("tile").alias("b"), F.col("blob").alias("blob_b"))
+    left = t.select(F.col("tile").alias("a"), F.col("blob").alias("blob_a"), F.col("tree").alias("tree_a"))
+    right = t.select(F.col("tile").alias("b"), F.col("blob").alias("blob_b"), F.col("tree").alias("tree_b"))
     # a row is one tile pair, at most twice TILE fingerprints; the pairs are dealt evenly
-    parts = max(1, min(n * (n + 1) // 2, int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    parts = max(1, min(n * (n - 1) // 2, int(t.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     both = pairs.join(left, "a").join(right, "b").repartition(parts, "a", "b")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
-            for x, y, i, j in zip(p["blob_a"], p["blob_b"], p["a"], p["b"], strict=True):
-                u = np.frombuffer(x, dtype="<u8").reshape(-1, words)
-                v = u if i == j else np.frombuffer(y, dtype="<u8").reshape(-1, words)
-                found = compare(u, v, radius, i == j)
+            for x, y, s, r in zip(p["blob_a"], p["blob_b"], p["tree_a"], p["tree_b"], strict=True):
+                u, v = (np.frombuffer(z, dtype="<u8").reshape(-1, words) for z in (x, y))
+                ta, tb = (np.frombuffer(z, dtype="<i4").astype(np.int64) for z in (s, r))
+                found = compare(u, v, radius, np.concatenate([ta, tb + len(u)]), False)
                 if found:
-                    name = lambda w: "".join(f"{int(z):016x}" for z in w)
-                    yield pd.DataFrame({"a": [name(u[m]) for m, _ in found], "b": [name(v[n]) for _, n in found]})
+                    i, j = np.array(found).T
+                    yield pd.DataFrame({"a": _hex(u[ta[i]]), "b": _hex(v[tb[j]])})
 
-    return both.select("a", "b", "blob_a", "blob_b").mapInPandas(run, "a string, b string")
+    return both.select("blob_a", "blob_b", "tree_a", "tree_b").mapInPandas(run, "a string, b string")
 
 
 def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
@@ -252,13 +276,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, radius: int = 3, words: int = 1
     fp = checkpointed(fingerprints(docs, k, words))
     # copies first: one row for each distinct fingerprint
     reps = fp.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    root = components(links(reps.select("fp"), radius, words))
-    moved = reps.join(root.withColumnRenamed("node", "fp"), "fp")
-    least = moved.groupBy("root").agg(F.min("least").alias("component"))
-    moved = moved.join(least, "root").select(F.col("fp").alias("__fp"), "component")
-    # most fingerprints have no links: their component is their own least id
-    own = reps.select(F.col("fp").alias("__fp"), F.col("least").alias("component"))
-    both = own.join(moved.select("__fp", F.col("component").alias("joined")), "__fp", "left").select("__fp", F.coalesce("joined", "component").alias("component"))
+    t = checkpointed(tiles(reps.select("fp"), radius, words))
+    root = components(links(t, radius, words))
+    known = reps.join(members(t, words), "fp").join(root.withColumnRenamed("node", "tree"), "tree", "left")
+    known = known.select("fp", "least", F.coalesce("root", "tree").alias("root"))
+    least = known.groupBy("root").agg(F.min("least").alias("component"))
+    both = known.join(least, "root").select(F.col("fp").alias("__fp"), "component")
     return fp.join(both, F.col("fp") == F.col("__fp")).select("doc_id", F.col("fp").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
