@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, fingerprints, mixing, neardup
+from . import decontam, fingerprints, mixing, neardup, pii, secrets, tokenpack
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secrets": secrets.op1_secrets,
+    "op2_pii": pii.op2_pii,
     "op3_mixing": mixing.op3_mixing,
     "op4_decontamination": decontam.op4_decontamination,
     "op7_simhash_fingerprints": fingerprints.op7_simhash_fingerprints,
+    "op8_token_ids": tokenpack.op8_token_ids,
     "op9_simhash_near_dedup": neardup.op9_simhash_near_dedup,
 }
 
