@@ -16,7 +16,7 @@ from .common import hash_bucket, n_words, read, running_total
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, REPEATS, SEED = 1.5, 2, "mix-1"
-ROWS_A_BUCKET = 4096
+ROWS_A_BUCKET = 512
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: int = REPEATS) -> DataFrame:
