@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, fingerprints, mixing, neardup, pii, secrets, tokenpack, toxicity
+from . import decontam, fingerprints, langid, mixing, neardup, pii, secrets, tokenpack, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": secrets.op1_secrets,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_simhash_fingerprints": fingerprints.op7_simhash_fingerprints,
     "op8_token_ids": tokenpack.op8_token_ids,
     "op9_simhash_near_dedup": neardup.op9_simhash_near_dedup,
+    "op10_language_id": langid.op10_language_id,
 }
 
 ORACLES: dict[str, str] = {
