@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, fingerprints, langid, mixing, neardup, pii, secrets, tokenpack, toxicity
+from . import decontam, fingerprints, htmlcrf, langid, mixing, neardup, pii, secrets, tokenpack, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": secrets.op1_secrets,
     "op2_pii": pii.op2_pii,
     "op3_mixing": mixing.op3_mixing,
     "op4_decontamination": decontam.op4_decontamination,
+    "op5_html_text": htmlcrf.op5_html_text,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_simhash_fingerprints": fingerprints.op7_simhash_fingerprints,
     "op8_token_ids": tokenpack.op8_token_ids,
