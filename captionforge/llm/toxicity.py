@@ -37,7 +37,9 @@ TABLE_BITS = {"g7": 21, "c7": 20, "g4": 18, "c4": 17, "g2": 14, "c2": 12}
 CALIBRATION = 20_000
 THRESHOLD = 0.3
 MOST_CACHED = 500_000
-FLUSH = 300_000
+FLUSH = 150_000
+#: Labelled ids up to this number are broadcast; more are joined by a shuffle of the documents.
+BROADCAST_ROWS = 500_000
 _WORDS = re.compile(r"[^\W\d_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 SYMBOLS = 500.0
@@ -80,40 +82,58 @@ def _slots(h: np.ndarray, table: str) -> np.ndarray:
     return (h >> np.uint64(64 - TABLE_BITS[table])).astype(np.int64)
 
 
+def _packed(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Slots of the 7-grams of the words; c7 with g4, and c4 with g2 and c2, in one number each; the words' lengths.
+
+    Numbers of a few bits compress well; 64-bit hashes don't."""
+    g, _, lengths = _grams(words)
+    s = {k: _slots(v, k) for k, v in g.items()}
+    upper = s["c7"] << TABLE_BITS["g4"] | s["g4"]
+    lower = (s["c4"] << TABLE_BITS["g2"] | s["g2"]) << TABLE_BITS["c2"] | s["c2"]
+    return s["g7"], upper, lower, lengths
+
+
 def counts(labelled: DataFrame) -> DataFrame:
-    """One row per different 7-gram: its hashes g7, c7, g4, c4, g2, c2 and in how many documents of class 0 and 1 a word
-    has it (n0, n1, words counted once per document). labelled: text, toxic."""
+    """One row per different 7-gram (by its slot and those of its parts): g7, c7, g4, c4, g2, c2 and in how many documents
+    of class 0 and 1 a word has it (n0, n1, words counted once per document). labelled: text, toxic."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
         for b in batches:
             for text, y in zip(b["text"], b["toxic"], strict=True):
                 seen[int(y)].update(set(doc_words(text)))
-            if len(seen[0]) + len(seen[1]) > FLUSH:
-                yield table(seen)
-                seen = (Counter(), Counter())
+                if len(seen[0]) + len(seen[1]) > FLUSH:
+                    yield table(seen)
+                    seen = (Counter(), Counter())
         if seen[0] or seen[1]:
             yield table(seen)
 
     def table(seen: tuple[Counter, Counter]) -> pd.DataFrame:
         words = sorted(seen[0].keys() | seen[1].keys())
-        g, _, lengths = _grams(words)
-        d = pd.DataFrame({k: v.view(np.int64) for k, v in g.items()})
-        for y in (0, 1):
-            d[f"n{y}"] = np.repeat(np.array([seen[y][w] for w in words], dtype=np.int64), lengths)
-        d = d.groupby("g7", sort=False).agg({**{k: "first" for k in g if k != "g7"}, "n0": "sum", "n1": "sum"}).reset_index()
-        return d[["g7", "c7", "g4", "c4", "g2", "c2", "n0", "n1"]]
-
-    rows = labelled.select("text", "toxic").mapInPandas(run, "g7 long, c7 long, g4 long, c4 long, g2 long, c2 long, n0 long, n1 long")
-    firsts = [F.first(c).alias(c) for c in ("c7", "g4", "c4", "g2", "c2")]
-    return rows.groupBy("g7").agg(*firsts, F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+        parts = []
+        for at in range(0, len(words), 1 << 14):
+            some = words[at : at + (1 << 14)]
+            g7, upper, lower, lengths = _packed(some)
+            n = [np.repeat(np.array([seen[y][w] for w in some], dtype=np.int32), lengths) for y in (0, 1)]
+            parts.append(pd.DataFrame({"g7": g7.astype(np.int32), "upper": upper, "lower": lower, "n0": n[0], "n1": n[1]}).groupby(["g7", "upper", "lower"], sort=False).sum().reset_index())
+        return pd.concat(parts).groupby(["g7", "upper", "lower"], sort=False).sum().reset_index().astype({"n0": "int64", "n1": "int64"})
+
+    rows = labelled.select("text", "toxic").mapInPandas(run, "g7 int, upper long, lower long, n0 long, n1 long")
+    rows = rows.groupBy("g7", "upper", "lower").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    low = lambda c, bits: c.bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
+    t = TABLE_BITS
+    return rows.select(
+        "g7", F.shiftright("upper", t["g4"]).cast("int").alias("c7"), low(F.col("upper"), t["g4"]).alias("g4"),
+        F.shiftright("lower", t["g2"] + t["c2"]).cast("int").alias("c4"), low(F.shiftright("lower", t["c2"]), t["g2"]).alias("g2"),
+        low(F.col("lower"), t["c2"]).alias("c2"), "n0", "n1",
+    )
 
 
 class Model:
     """The hashed tables. Each is an array of fixed size, whatever the corpus."""
 
     def __init__(self, grams: DataFrame):
-        slot = lambda c: F.shiftrightunsigned(F.col(c), 64 - TABLE_BITS[c])
+        slot = F.col
         one = lambda c: F.sum((F.col(c) > 0).cast("long"))
         grams = grams.persist()
         try:
@@ -208,7 +228,10 @@ def train(docs: DataFrame, labels: DataFrame, calibration: int = CALIBRATION) ->
     used to fit the logistic function. docs: doc_id, text; labels: doc_id, toxic (null: no label; several: the highest)."""
     known = labels.filter(F.col("toxic").isNotNull()).groupBy(F.col("doc_id").alias("l_id")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     d = docs.select("doc_id", "text").filter(F.col("text").isNotNull())
-    counted = d.filter(fold(F.col("doc_id")) < 2).join(known.filter(fold(F.col("l_id")) < 2), F.col("doc_id") == F.col("l_id"))
+    seen = known.filter(fold(F.col("l_id")) < 2)
+    if seen.count() <= BROADCAST_ROWS:
+        seen = F.broadcast(seen)
+    counted = d.filter(fold(F.col("doc_id")) < 2).join(seen, F.col("doc_id") == F.col("l_id"))
     model = Model(counts(counted))
     chosen = known.filter(fold(F.col("l_id")) == 3).orderBy(F.xxhash64("l_id"), "l_id").limit(calibration)
     picked = d.filter(fold(F.col("doc_id")) == 3).join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id")).select("text", "toxic")
