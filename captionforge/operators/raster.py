@@ -335,25 +335,34 @@ def crop_columns(gray: np.ndarray, start: int, end: int) -> np.ndarray | None:
     return gray[:, start:end] if start < end else None
 
 
-def shear_variance(image: np.ndarray, angle: float, pad: int) -> float:
+def shear_variance(image: np.ndarray, angle: float, pad: int, below: np.ndarray | None = None) -> float:
+    """Variance of the column sums after row y has moved by int(tan(angle) * y) + pad. Rows that move alike are summed
+    at once, from below: the running sums of the rows."""
     h, w = image.shape
     if not h or not w:
         return 0.0
+    below = running_rows(image) if below is None else below
     shift = (np.tan(np.radians(angle)) * np.arange(h)).astype(int) + pad
+    edges = np.concatenate([[0], np.nonzero(np.diff(shift))[0] + 1, [h]])
     profile = np.zeros(w + 2 * pad)
-    for y, k in enumerate(shift):
-        if 0 <= k <= 2 * pad:
-            profile[k : k + w] += image[y]
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        if 0 <= shift[a] <= 2 * pad:
+            profile[shift[a] : shift[a] + w] += below[b] - below[a]
     return float(profile.var())
 
 
+def running_rows(image: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.zeros((1, image.shape[1])), np.cumsum(image.astype(float), axis=0)])
+
+
 def italic_angle(image: np.ndarray, most: float = 20.0, steps: int = 81) -> tuple[float, float]:
     """Best rightward angle and the ratio of its variance to that of no shear (infinite if that is 0)."""
     pad = int(np.tan(np.radians(most)) * max(image.shape[0] - 1, 0)) + 1
     angles = np.linspace(-most, most, steps)
-    upright = shear_variance(image, angles[np.argmin(np.abs(angles))], pad)
+    below = running_rows(image)
+    upright = shear_variance(image, angles[np.argmin(np.abs(angles))], pad, below)
     right = angles[angles > 0]
-    v = np.array([shear_variance(image, a, pad) for a in right])
+    v = np.array([shear_variance(image, a, pad, below) for a in right])
     best = int(v.argmax())
     return float(right[best]), float(v[best]) / upright if upright > 0 else float("inf")
 

@@ -19,6 +19,7 @@ from ..functions import tokens as tk
 from ..functions.text_rules import is_blank, mid_process, rtrim
 from ..plans.config import PipelineConfig
 from . import italic, raster
+from .storage import stored
 
 
 class Recognizer(Protocol):
@@ -198,18 +199,20 @@ def classified(lines: DataFrame, factory: Factory) -> DataFrame:
 def read_lines(lines: DataFrame, factory: Factory, config: PipelineConfig) -> DataFrame:
     """lines (file_id, idx, start_ms, end_ms, line_no, png) with text (null if nothing was read) and vlm."""
     keep = ["file_id", "idx", "start_ms", "end_ms", "line_no"]
-    read = with_fallback(recognise(lines, factory), lambda d: ask_fallback(d, factory, config.prompt), config.verify_threshold)
+    # each answer of a model is asked for once: what is split into branches is stored first
+    first = stored(recognise(lines, factory))
+    read = stored(with_fallback(first, lambda d: ask_fallback(d, factory, config.prompt), config.verify_threshold))
     blank = read.filter(F.coalesce(is_blank(F.col("text")), F.lit(True)))
     d = read.filter(~is_blank(F.col("text"))).withColumn("text", mid_process(F.col("text"), config.language))
     tag = tk.leading_tag(F.col("text"))
     d = geometry(d.withColumn("tag_len", tag["length"]).withColumn("body_at", tag["body"]), factory, config.italic_threshold)
-    d = d.withColumn("reason", fallback_reason(F.col("text"), F.col("tag_len"), F.col("body_at"), F.col("verified")))
+    d = stored(d.withColumn("reason", fallback_reason(F.col("text"), F.col("tag_len"), F.col("body_at"), F.col("verified"))))
     plain = d.filter("reason is null").withColumn("text", verdict(F.col("text"), F.col("tag_len"), F.col("body_at"), F.col("tag_italic"), F.col("body_italic")))
 
     odd = d.filter("reason is not null")
     again = ask_fallback(odd.filter("not vlm").withColumn("first", F.col("text")), factory, config.prompt)
     again = again.withColumn("text", F.when(F.coalesce(is_blank(F.col("text")), F.lit(True)), F.col("first")).otherwise(mid_process(F.col("text"), config.language))).drop("first")
-    odd = classified(again.unionByName(odd.filter("vlm")), factory)
+    odd = classified(stored(again.unionByName(odd.filter("vlm"))), factory)
     cls = tk.usable_answer(F.col("answer"), F.col("toks"))
     odd = odd.withColumn("cls", cls)
     styled = F.when(F.col("cls").isNull(), F.col("text")).otherwise(tk.styled(F.col("text"), italic.post_process(F.col("cls"), F.col("toks"))))

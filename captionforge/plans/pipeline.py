@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import display_sets, file_rules, raster, recognise, srt
+from ..operators.storage import stored
 from ..sources import display_sets as sets_source
 from ..sources import tracks as tracks_source
 from .config import PipelineConfig
@@ -27,7 +28,7 @@ def entries(sets: DataFrame, factory: recognise.Factory, config: PipelineConfig
         sets = sets_source.of_tracks(sets, tracks_source.choose(tracks, config.language, config.track))
     lines = raster.line_images(intervals(sets))
     read = recognise.read_lines(lines, factory, config)
-    return file_rules.post_process(srt.join_lines(read))
+    return file_rules.post_process(stored(srt.join_lines(read)), between=stored)
 
 
 def run(sets: DataFrame, factory: recognise.Factory, config: PipelineConfig, tracks: DataFrame | None = None) -> DataFrame:
