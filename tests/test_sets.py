@@ -61,7 +61,7 @@ def test_tolerance_is_measured_from_the_first_of_a_run(spark):
     rows = [("f", 1, i, i * 900, i * 900 + 450, True, 1, 0, 0, 20, 10, bytes([1, i + 1]), a) for i, a in enumerate(frames)]
     d = spark.createDataFrame(rows, "file_id string, track long, seq long, start_pts long, end_pts long, visible boolean, n_objects int, x int, y int, w int, h int, rle binary, alpha binary")
     got = [(r.seq, r.start_ms, r.end_ms, r.exact, r.pixel) for r in ds.fold_fuzzy(d).orderBy("seq").collect()]
-    assert got == [(0, 0, 5, 0, 1), (2, 20, 35, 0, 1)]
+    assert got == [(0, 0, 5, 0, 1), (2, 20, 25, 0, 1)]
 
 
 def test_alpha_match(spark):
