@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A run of characters other than the six ASCII white-space characters.
@@ -32,32 +32,47 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in the folder that spark.checkpoint.dir names, which all executors share.
-
-    Only where neither the session nor the context names one (local tests) is a temporary folder used."""
-    sc = df.sparkSession.sparkContext
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, which all executors share. Only where neither the session nor the
+    context names one (local tests) is a temporary folder used."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        where = spark.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="captionforge-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cuts the lineage by a checkpoint in the shared folder."""
+    _shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Cuts the lineage by a table in the shared folder. For loops: Spark plans the next round from the table's true
+    size, where a checkpoint keeps an estimate that grows as a product from round to round."""
+    path = f"{_shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes the files of a table that written() made and nothing reads any more."""
+    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/table-" in folder:
+            at = jvm.org.apache.hadoop.fs.Path(folder)
+            at.getFileSystem(conf).delete(at, True)
+
+
+def slices(batches, rows: int = 256):
+    """Arrow batches in pieces, so that no more than `rows` texts are Python strings at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def hash_bucket(hex_key: Column, buckets: int) -> Column:
     """Bucket 0..buckets-1 that grows with a hexadecimal key (its first 8 digits decide)."""
     first = F.conv(F.substring(hex_key, 1, 8), 16, 10).cast("long")
     return F.floor(first * F.lit(buckets) / F.lit(float(2**32))).cast("long")
-
-
-def running_total(df: DataFrame, keys: list[str], bucket: str, order: list[str], value: str, out: str) -> DataFrame:
-    """Adds out: the sum of value over the rows of the same keys up to and including this one.
-
-    bucket must grow with order. Rows are only ever brought together by (keys, bucket), so a hot key is split
-    over all tasks; what is gathered by keys alone is one sum per bucket."""
-    sums = df.groupBy(*keys, bucket).agg(F.sum(value).alias("__sum"))
-    before = F.sum("__sum").over(W.partitionBy(*keys).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1))
-    sums = sums.select(*[F.col(k).alias(f"__{k}") for k in [*keys, bucket]], F.coalesce(before, F.lit(0)).alias("__before"))
-    inside = F.sum(value).over(W.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
-    on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in [*keys, bucket]]
-    joined = df.withColumn("__inside", inside).join(sums, on)
-    return joined.withColumn(out, F.col("__before") + F.col("__inside")).drop("__before", "__inside", *[f"__{k}" for k in [*keys, bucket]])

@@ -12,11 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import hash_bucket, n_words, read, running_total
+from .common import checkpointed, hash_bucket, n_words, read
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, REPEATS, SEED = 1.5, 2, "mix-1"
 ROWS_A_BUCKET = 512
+#: Bucket sums up to this number are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: int = REPEATS) -> DataFrame:
@@ -48,16 +50,22 @@ def served(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: int
     """docs' rows with size, source_size, target, and start: the words its source serves before it in one pass.
 
     docs: columns doc_id, source, size and any others not beginning with two underscores."""
-    sizes = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
-    goal = targets(sizes, weights, share, repeats).withColumnRenamed("source", "__source")
-    rows = docs.count()
-    buckets = max(1, -(-rows // ROWS_A_BUCKET))
+    buckets = max(1, -(-docs.count() // ROWS_A_BUCKET))
     key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":" + seed)))
     d = docs.withColumn("__h", key).withColumn("__bucket", hash_bucket(F.col("__h"), buckets))
-    d = running_total(d, ["source"], "__bucket", ["__h", "size"], "size", "__end").drop("__bucket")
-    # one row per source: broadcast only below the session's own size threshold
-    d = d.join(goal, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
-    return d.withColumn("start", F.col("__end") - F.col("size")).drop("__end", "__h")
+    # rows are brought together by (source, bucket) only, so a hot source is dealt over all tasks; by source alone come
+    # the sums of its buckets
+    sums = checkpointed(d.groupBy(F.col("source"), F.col("__bucket")).agg(F.sum("size").alias("__sum")))
+    goal = targets(sums.groupBy("source").agg(F.sum("__sum").alias("source_size")), weights, share, repeats)
+    ahead = F.sum("__sum").over(W.partitionBy("source").orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1))
+    table = sums.select(F.col("source").alias("__source"), F.col("__bucket").alias("__b"), F.coalesce(ahead, F.lit(0)).alias("__ahead"))
+    table = table.join(goal, F.col("__source").eqNullSafe(F.col("source"))).drop("source")
+    if sums.count() <= BROADCAST_ROWS:
+        table = F.broadcast(table)
+    inside = F.sum("size").over(W.partitionBy("source", "__bucket").orderBy("__h", "size").rowsBetween(W.unboundedPreceding, 0))
+    d = d.withColumn("__inside", inside).join(table, F.col("source").eqNullSafe(F.col("__source")) & (F.col("__bucket") == F.col("__b")))
+    d = d.withColumn("start", F.col("__ahead") + F.col("__inside") - F.col("size"))
+    return d.drop("__source", "__b", "__bucket", "__ahead", "__inside", "__h")
 
 
 def copy_words(copy: int):
