@@ -23,9 +23,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import LOWER, UPPER, checkpointed, read
+from .common import LOWER, UPPER, checkpointed, dropped, read, slices, written
 
 TILE, SUB = 16384, 256
+#: Small inputs are cut into so many tiles at least, to be compared in parallel.
+LEAST_TILES = 12
 BLOCKS = 4  # population counts per 64-bit word
 _ASCII = str.maketrans(UPPER, LOWER)
 
@@ -73,7 +75,7 @@ def fingerprints(docs: DataFrame, k: int, words: int = 1) -> DataFrame:
     """doc_id and fp (16 lowercase hex digits per word) for each row of docs (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             fps = ["".join(f"{w:016x}" for w in fingerprint(t, k, words)) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps, pa.string())], names=["doc_id", "fp"])
 
@@ -118,20 +120,26 @@ def compare(a: np.ndarray, b: np.ndarray, radius: int, root: np.ndarray, same: b
                 return r
             r = up
 
+    words_a, words_b = ([np.ascontiguousarray(z[:, w]) for w in range(z.shape[1])] for z in (a, b))
+    diff, bits = np.empty(SUB * SUB, dtype=np.uint64), np.empty(SUB * SUB, dtype=np.uint8)
     for i, j in zip(*np.nonzero(_gaps(lo_a, hi_a, lo_b, hi_b) <= radius), strict=True):
         if same and j < i:
             continue
-        x, y = a[i * SUB : (i + 1) * SUB], b[j * SUB : (j + 1) * SUB]
-        d = np.bitwise_count(x[:, None, 0] ^ y[None, :, 0])
-        near = d <= radius
-        if not near.any():
+        x, y = words_a[0][i * SUB : (i + 1) * SUB], words_b[0][j * SUB : (j + 1) * SUB]
+        n = len(x) * len(y)
+        np.bitwise_xor(x[:, None], y[None, :], out=diff[:n].reshape(len(x), len(y)))
+        np.bitwise_count(diff[:n], out=bits[:n])
+        near = np.flatnonzero(bits[:n] <= radius)
+        if not len(near):
             continue
-        p, q = np.nonzero(near)
-        if a.shape[1] > 1:
-            rest = d[p, q].astype(np.int16)
-            for w in range(1, a.shape[1]):
-                rest += np.bitwise_count(x[p, w] ^ y[q, w])
+        p, q = np.divmod(near, len(y))
+        if len(words_a) > 1:
+            rest = bits[near].astype(np.int16)
+            for u, v in zip(words_a[1:], words_b[1:], strict=True):
+                rest += np.bitwise_count(u[i * SUB + p] ^ v[j * SUB + q])
             p, q = p[rest <= radius], q[rest <= radius]
+            if not len(p):
+                continue
         p, q = p + i * SUB, q + j * SUB
         todo = np.arange(len(p))
         while len(todo):
@@ -163,37 +171,36 @@ def tiles(fps: DataFrame, radius: int, words: int) -> DataFrame:
     """The distinct fingerprints of column fp, range-sorted by block population counts and cut into tiles.
 
     Columns tile (long), lo and hi (array<int>, ranges of the block counts), blob (the fingerprints) and tree (int32:
-    for each fingerprint the row that stands for its component within the tile)."""
-    bits = [F.bit_count(F.conv(F.substring("fp", 4 * i + 1, 4), 16, 10).cast("int")) for i in range(4 * words)]
-    order = [f"__p{i}" for i in range(len(bits))]
-    d = fps.select("fp", *[b.alias(o) for b, o in zip(bits, order, strict=True)])
-    d = d.repartitionByRange(*order, "fp").sortWithinPartitions(*order, "fp").select("fp", F.spark_partition_id().cast("long").alias("part"))
+    for each fingerprint the row that stands for its component within the tile). A tile is a run of at most TILE
+    fingerprints in sort order; its number follows from the numbers of fingerprints with smaller counts (at most
+    17 ** BLOCKS sums) and the place among those with equal ones."""
+    n = fps.count()
+    size = min(TILE, max(1, -(-n // LEAST_TILES)))
+    counts = [F.bit_count(F.conv(F.substring("fp", 4 * i + 1, 4), 16, 10).cast("int")) for i in range(4 * words)]
+    key = counts[0].cast("int")
+    for c in counts[1:BLOCKS]:
+        key = key * 17 + c
+    d = fps.select("fp", key.alias("key"))
+    hist = d.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(W.orderBy("key").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    hist = hist.select("key", before.alias("before"))
+    rank = F.col("before") + F.row_number().over(W.partitionBy("key").orderBy("fp")) - 1
+    d = d.join(F.broadcast(hist), "key").select("fp", F.floor(rank / size).cast("long").alias("tile"))
+    lists = d.groupBy("tile").agg(F.collect_list("fp").alias("fps"))  # at most TILE of them
+    parts = max(1, min(-(-n // size), int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[str] = []
-        n = 0
-
-        def tile(part: int) -> pd.DataFrame:
-            nonlocal held, n
-            a = pack(held[:TILE], words)
-            c = block_counts(a)
-            root = np.arange(len(a))
-            compare(a, a, radius, root, True)
-            tree = flat(root).astype("<i4").tobytes()
-            out = pd.DataFrame({"tile": [part * (1 << 32) + n], "lo": [c.min(axis=0).tolist()], "hi": [c.max(axis=0).tolist()], "blob": [a.tobytes()], "tree": [tree]})
-            held, n = held[TILE:], n + 1
-            return out
-
-        part = 0
         for b in batches:
-            held += b["fp"].tolist()
-            part = int(b["part"].iloc[0]) if len(b) else part
-            while len(held) >= TILE:
-                yield tile(part)
-        if held:
-            yield tile(part)
+            for tile, held in zip(b["tile"], b["fps"], strict=True):
+                a = pack(list(held), words)
+                c = block_counts(a)
+                order = np.lexsort([*a.T[::-1], *c.T[::-1]])
+                a, c = a[order], c[order]
+                root = np.arange(len(a))
+                compare(a, a, radius, root, True)
+                yield pd.DataFrame({"tile": [tile], "lo": [c.min(axis=0).tolist()], "hi": [c.max(axis=0).tolist()], "blob": [a.tobytes()], "tree": [flat(root).astype("<i4").tobytes()]})
 
-    return d.mapInPandas(cut, "tile long, lo array<int>, hi array<int>, blob binary, tree binary")
+    return lists.repartition(parts, "tile").mapInPandas(cut, "tile long, lo array<int>, hi array<int>, blob binary, tree binary")
 
 
 def _hex(a: np.ndarray) -> list[str]:
@@ -248,23 +255,25 @@ def links(t: DataFrame, radius: int, words: int = 1) -> DataFrame:
 def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     """node, root: the least node of each node's component, for the nodes that have edges (a, b).
 
-    Each round takes the least label among the neighbours, then the label of that label, so that long chains
-    shorten by half or more; it ends when nothing changes, which is always before `rounds` at any size in use."""
+    Each round a node takes the least label among its neighbours and tells it to the node that it points to; then it
+    takes the label of its label. So trees are hooked to each other by their roots and paths shorten by half: the
+    rounds grow as the logarithm of the nodes. It ends when nothing changes."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
-    both = checkpointed(both)
-    label = checkpointed(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
+    both = written(both)
+    label = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
     for _ in range(rounds):
         near = both.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("m"))
         step = label.join(near, "node").select("node", "root", F.least("root", "m").alias("m"))
-        up = step.select(F.col("node").alias("m"), F.col("m").alias("mm"))
-        new = step.join(up, "m").select("node", F.least("m", "mm").alias("new"), "root")
-        new = checkpointed(new)
-        if new.filter("new <> root").isEmpty():
-            break
+        # what a node hears, the node it points to hears as well
+        heard = step.select("node", "m", F.col("root").alias("old")).union(step.select(F.col("root").alias("node"), "m", F.lit(None).alias("old")))
+        heard = heard.groupBy("node").agg(F.min("m").alias("m"), F.max("old").alias("root"))
+        up = heard.select(F.col("node").alias("m"), F.col("m").alias("mm"))
+        new = written(heard.join(up, "m").select("node", F.least("m", "mm").alias("new"), "root"))
+        dropped(label)
         label = new.select("node", F.col("new").alias("root"))
-    else:
-        raise RuntimeError("components did not settle")
-    return label
+        if new.filter("new <> root").isEmpty():
+            return label
+    raise RuntimeError("components did not settle")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, radius: int = 3, words: int = 1) -> DataFrame:

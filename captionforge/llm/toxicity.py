@@ -29,14 +29,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import read, slices
 
 ORDER, MIDDLE, LOW = 7, 4, 2
 DISCOUNT = 0.75
 TABLE_BITS = {"g7": 21, "c7": 20, "g4": 18, "c4": 17, "g2": 14, "c2": 12}
 CALIBRATION = 20_000
 THRESHOLD = 0.3
-MOST_CACHED = 500_000
+MOST_CACHED = 150_000
 FLUSH = 150_000
 #: Labelled ids up to this number are broadcast; more are joined by a shuffle of the documents.
 BROADCAST_ROWS = 500_000
@@ -262,7 +262,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, float] = {}
         m = shared.value
-        for b in batches:
+        for b in slices(batches):
             x = np.array([m.features(t, cache) for t in b.column("text").to_pylist()], dtype=float).reshape(-1, N_FEATURES)
             s = pa.array(np.round(m.score(x), 6))
             yield pa.RecordBatch.from_arrays([*b.columns, s], names=[*names, "toxic_score"])
