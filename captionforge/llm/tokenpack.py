@@ -13,6 +13,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,14 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, read
+from .common import checkpointed, read, slices
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pre-tokenizer pattern that belongs to the vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 END = 50256
 LENGTH, PER_SHARD, KEY = 1024, 1024, "order-1"
-MOST_CACHED = 400_000
+MOST_CACHED = 250_000
 
 
 @lru_cache(maxsize=4)
@@ -44,29 +46,40 @@ def encoder(path: str):
 _CACHE: dict[str, dict[str, bytes]] = {}
 
 
-#: A single space between two characters that aren't white space: it always begins a piece of the pattern.
-_CUT = re.compile(r"(?<=\S)(?= \S)")
+#: White space next to a space; elsewhere a space is between two characters that aren't white space.
+_ODD = re.compile(r" \s|\s |\A | \Z")
+#: A space between two characters that aren't white space: it always begins a piece of the pattern.
+_CUT = re.compile(r"(?<=\S) (?=\S)")
+
+
+def _bytes(ids: list[int]) -> bytes:
+    out = array("H", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
 
 
 def encode(text: str | None, path: str = TOKENIZER) -> bytes:
     """The token ids of a text as little-endian uint16; null and empty texts have none.
 
-    The text is cut where the pattern always begins a piece; the ids of each part come from a cache of bounded size."""
+    The text is cut where the pattern always begins a piece, at spaces between two characters that aren't white space;
+    the ids of each part, with its space, come from a cache of bounded size."""
     if not text:
         return b""
     enc = encoder(path)
     cache = _CACHE.setdefault(path, {})
-    out = []
-    for part in _CUT.split(text):
-        ids = cache.get(part)
-        if ids is None:
-            ids = np.array(enc.encode_ordinary(part), dtype="<u2").tobytes()
-            if len(part) <= 64:
-                if len(cache) >= MOST_CACHED:
-                    cache.clear()
-                cache[part] = ids
-        out.append(ids)
-    return b"".join(out)
+    if len(cache) >= MOST_CACHED:
+        cache.clear()
+    first, *rest = _CUT.split(text) if _ODD.search(text) else text.split(" ")
+    ids = list(map(cache.get, rest))
+    if None in ids:
+        for i, x in enumerate(ids):
+            if x is None:
+                part = rest[i]
+                x = ids[i] = _bytes(enc.encode_ordinary(" " + part))
+                if len(part) <= 64:
+                    cache[part] = x
+    return _bytes(enc.encode_ordinary(first)) + b"".join(ids)
 
 
 # --- the permutation -----------------------------------------------------------------------------------------------
@@ -117,7 +130,7 @@ def encoded(docs: DataFrame, path: str = TOKENIZER, end: int = END) -> DataFrame
     last = np.array([end], dtype="<u2").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             ids = [encode(t, path) + last for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.binary()), pa.array([len(x) // 2 for x in ids], pa.int64())], names=["doc_id", "ids", "n"])
 
