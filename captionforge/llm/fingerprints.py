@@ -30,7 +30,7 @@ def terms(t: str) -> Column:
 def _votes(h: Column) -> list[Column]:
     """For each four bits of the two hash words a long with the bits in four lanes."""
     out = []
-    for word in (F.col(h), F.xxhash64(F.col(h))):
+    for word in (F.col(h), F.when(F.col(h).isNotNull(), F.xxhash64(F.col(h)))):  # no term, no vote
         for j in range(16):
             nibble = F.shiftrightunsigned(word, 4 * j).bitwiseAND(F.lit(15))
             out.append((nibble * F.lit(SPREAD)).bitwiseAND(F.lit(LANES)))
