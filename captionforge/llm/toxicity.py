@@ -140,8 +140,8 @@ class Model:
             self.g7 = self._table(grams.groupBy(slot("g7").alias("s")).agg(F.sum("n0"), F.sum("n1")), "g7", 2)
             self.c7 = self._table(grams.groupBy(slot("c7").alias("s")).agg(F.sum("n0"), F.sum("n1"), one("n0"), one("n1")), "c7", 4)
             # continuations: the different 7-grams in which an n-gram ends
-            middle = grams.groupBy("g4").agg(F.first("c4").alias("c4"), F.count(F.lit(1)).alias("n"))
-            low = grams.groupBy("g2").agg(F.first("c2").alias("c2"), F.count(F.lit(1)).alias("n"))
+            middle = grams.groupBy("g4").agg(F.min("c4").alias("c4"), F.count(F.lit(1)).alias("n"))
+            low = grams.groupBy("g2").agg(F.min("c2").alias("c2"), F.count(F.lit(1)).alias("n"))
             self.g4 = self._table(middle.groupBy(slot("g4").alias("s")).agg(F.sum("n")), "g4", 1)
             self.c4 = self._table(middle.groupBy(slot("c4").alias("s")).agg(F.sum("n"), F.count(F.lit(1))), "c4", 2)
             self.g2 = self._table(low.groupBy(slot("g2").alias("s")).agg(F.sum("n")), "g2", 1)
