@@ -79,7 +79,7 @@ def occurrences(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFr
     docs: column t (tokens) and identifying columns; items: item_id, text."""
     out = None
     for part in blocks(items):
-        wins = windows(part, size)
+        wins = windows(part, size).distinct()  # an item may be listed twice
         vocabulary = [r[0] for r in wins.select(F.explode("terms")).distinct().collect()]  # bounded by BLOCK_TOKENS
         if not vocabulary:
             continue
@@ -109,7 +109,7 @@ def proximity(docs: DataFrame, items: DataFrame, size: int = WINDOW, slack: int
     of the rarest one. Columns: docs' but t, item_id, at, pos (of the rarest term)."""
     out = None
     for part in blocks(items):
-        wins = windows(part, size)
+        wins = windows(part, size).distinct()  # an item may be listed twice
         vocabulary = [r[0] for r in wins.select(F.explode("terms")).distinct().collect()]
         seeds = anchored(wins, frequencies(docs, vocabulary)).collect() if vocabulary else []
         if not seeds:
@@ -143,7 +143,8 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> Data
     """One row per row of docs (doc_id, text): doc_id, n_words, n_hit, item_ids (sorted as strings).
 
     Null and empty texts have no words and no hits. Rows of the same doc_id and text are counted alike, each by
-    itself; items that share an id count as one; other columns are ignored; either table may be empty."""
+    itself; items that share an id count as one, those without an id only by their hits; other columns are ignored;
+    either table may be empty."""
     keyed = docs.select("doc_id", F.xxhash64(F.col("text")).alias("k"), tokens(F.col("text")).alias("t"))
     found = occurrences(keyed, items, size)
     hits = found.groupBy("doc_id", "k").agg(
@@ -178,7 +179,7 @@ dwin AS (SELECT r, i, n, array_to_string(list_slice(t, i, i + n - 1), ' ') AS ph
   FROM (SELECT r, t, n, unnest(range(1, len(t) - n + 2)) AS i FROM dw, lens WHERE len(t) >= n)),
 hit AS (SELECT DISTINCT r, i, dwin.n, item_id FROM dwin JOIN seed ON dwin.n = seed.n AND dwin.phrase = seed.phrase),
 pos AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM hit) GROUP BY r),
-its AS (SELECT r, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS s FROM hit) GROUP BY r)
+its AS (SELECT r, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS s FROM hit WHERE item_id IS NOT NULL) GROUP BY r)
 SELECT doc_id, CAST(len(t) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM dw LEFT JOIN pos USING (r) LEFT JOIN its USING (r)
