@@ -39,11 +39,12 @@ def duck(sf):
 
 def rows(frame):
     """Rows of a pandas frame, columns by name, in an order of their own; doubles to nine places."""
-    import math
     import numbers
 
+    import pandas as pd
+
     def plain(v):
-        if v is None or (isinstance(v, float) and math.isnan(v)):
+        if v is None or pd.api.types.is_scalar(v) and pd.isna(v):
             return None
         if isinstance(v, bool) or type(v).__name__ == "bool":
             return bool(v)
