@@ -43,7 +43,7 @@ def encoder(path: str):
     return tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-_CACHE: dict[str, dict[str, bytes]] = {}
+_CACHE: dict[str, dict[str | tuple[str], bytes]] = {}
 
 
 #: White space next to a space; elsewhere a space is between two characters that aren't white space.
@@ -59,6 +59,36 @@ def _bytes(ids: list[int]) -> bytes:
     return out.tobytes()
 
 
+_LINES = re.compile(r"\S+(?:\n\S+)+")
+
+
+def _part(part: str, enc, cache: dict[str | tuple[str], bytes], before: str = " ") -> bytes:
+    """Ids of a part with the space or line feed before it, when the cache doesn't have it. The pattern also begins a
+    piece at a line feed between two characters that aren't white space, and at a sign after a letter or digit."""
+    if "\n" in part and _LINES.fullmatch(part):
+        first, *rest = part.split("\n")
+        out = cache.get(first)
+        ids = [_part(first, enc, cache) if out is None else out]
+        for line in rest:
+            x = cache.get("\n" + line)
+            ids.append(_part(line, enc, cache, "\n") if x is None else x)
+        return b"".join(ids)
+    key = part if before == " " else before + part
+    if len(part) > 2 and part[-1] in ".,:;!?" and part[-2].isalpha():
+        word, sign = key[:-1], (part[-1],)
+        x = cache.get(word)
+        if x is None:
+            x = cache[word] = _bytes(enc.encode_ordinary(before + part[:-1]))
+        y = cache.get(sign)
+        if y is None:
+            y = cache[sign] = _bytes(enc.encode_ordinary(part[-1]))
+        return x + y
+    x = _bytes(enc.encode_ordinary(before + part))
+    if len(part) <= 64:
+        cache[key] = x
+    return x
+
+
 def encode(text: str | None, path: str = TOKENIZER) -> bytes:
     """The token ids of a text as little-endian uint16; null and empty texts have none.
 
@@ -75,10 +105,7 @@ def encode(text: str | None, path: str = TOKENIZER) -> bytes:
     if None in ids:
         for i, x in enumerate(ids):
             if x is None:
-                part = rest[i]
-                x = ids[i] = _bytes(enc.encode_ordinary(" " + part))
-                if len(part) <= 64:
-                    cache[part] = x
+                ids[i] = _part(rest[i], enc, cache)
     return _bytes(enc.encode_ordinary(first)) + b"".join(ids)
 
 
@@ -184,7 +211,9 @@ def sequences(docs: DataFrame, path: str = TOKENIZER, length: int = LENGTH, per_
         return pa.RecordBatch.from_arrays(cols, names=["slot", "sequence", "place", "doc_id", "piece"])
 
     pieces = t.select("part", "doc_id", "ids").mapInArrow(cut, "slot long, sequence long, place int, doc_id long, piece binary")
-    dealt = pieces.repartitionByRange("slot").sortWithinPartitions("slot", "place")
+    # the slots are 0..n-1, so even ranges of them are known without a sample
+    parts = max(1, min(n, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    dealt = pieces.repartitionById(parts, F.floor(F.col("slot") * parts / max(1, n)).cast("int")).sortWithinPartitions("slot", "place")
     pad = np.array([end], dtype="<u2").tobytes()
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
