@@ -9,6 +9,9 @@
 4. Within a tile, components are found at once and one fingerprint stands for each; a tile pair gives the links of a
    spanning forest over the components of its two tiles, which keeps every component of the whole.
 5. Components: least-label propagation with pointer jumping over the links, checkpointed each round.
+
+verified_near_duplicates goes on from there: the components of candidate links are cut into pieces, and the links
+within each pair of pieces are checked on the exact shingles before components are built again from those that hold.
 """
 
 from __future__ import annotations
@@ -29,6 +32,8 @@ TILE, SUB = 16384, 256
 #: Small inputs are cut into so many tiles at least, to be compared in parallel.
 LEAST_TILES = 12
 BLOCKS = 4  # population counts per 64-bit word
+#: Shingle sets of a candidate component that are compared at a time: about so many of each of two pieces.
+PIECE = 1024
 _ASCII = str.maketrans(UPPER, LOWER)
 
 
@@ -60,10 +65,18 @@ def fingerprint(text: str | None, k: int, words: int = 1, seed: int = 42) -> tup
     sh = shingles(text or "", k)
     if not sh:
         return (0,) * words
-    raw = [s.encode("utf-8", "replace") for s in sh]
+    return _majority([s.encode("utf-8", "replace") for s in sh], words, seed)
+
+
+def _hashes(raw: list[bytes], seed: int) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(b, seed) for b in raw), dtype="<u8", count=len(raw))
+
+
+def _majority(raw: list[bytes], words: int, seed: int, first: np.ndarray | None = None) -> tuple[int, ...]:
+    """first: the hashes with `seed`, if known."""
     out = []
     for i in range(words):
-        h = np.fromiter((xxhash.xxh64_intdigest(b, seed + i) for b in raw), dtype="<u8", count=len(raw))
+        h = first if first is not None and i == 0 else _hashes(raw, seed + i)
         votes = np.zeros(64, dtype=np.int64)
         for at in range(0, len(h), 1 << 16):
             votes += np.unpackbits(h[at : at + (1 << 16)].view("u1").reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -71,6 +84,28 @@ def fingerprint(text: str | None, k: int, words: int = 1, seed: int = 42) -> tup
     return tuple(out)
 
 
+def shingle_set(text: str | None, k: int, seed: int = 42) -> tuple[list[bytes], np.ndarray]:
+    """The different shingles of a text, and their hashes in the same order."""
+    raw = [s.encode("utf-8", "replace") for s in dict.fromkeys(shingles(text or "", k))]
+    return raw, _hashes(raw, seed)
+
+
+def sketches(docs: DataFrame, k: int, words: int) -> DataFrame:
+    """doc_id, fp (the SimHash of the different shingles), key (a digest of the set of them) and text_key (of the text)
+    for each row of docs (doc_id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            fps, keys = [], []
+            for t in b.column("text").to_pylist():
+                raw, h = shingle_set(t, k)
+                fps.append("".join(f"{w:016x}" for w in _majority(raw, words, 42, h)) if raw else "0" * 16 * words)
+                keys.append(xxhash.xxh3_128_hexdigest(np.sort(h).tobytes()))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps, pa.string()), pa.array(keys, pa.string()), b.column("text_key")], names=["doc_id", "fp", "key", "text_key"])
+
+    return docs.select("doc_id", "text", F.md5("text").alias("text_key")).mapInArrow(run, "doc_id long, fp string, key string, text_key string")
+
+
 def fingerprints(docs: DataFrame, k: int, words: int = 1) -> DataFrame:
     """doc_id and fp (16 lowercase hex digits per word) for each row of docs (doc_id, text)."""
 
@@ -122,6 +157,8 @@ def compare(a: np.ndarray, b: np.ndarray, radius: int, root: np.ndarray, same: b
 
     words_a, words_b = ([np.ascontiguousarray(z[:, w]) for w in range(z.shape[1])] for z in (a, b))
     diff, bits = np.empty(SUB * SUB, dtype=np.uint64), np.empty(SUB * SUB, dtype=np.uint8)
+    # the first word alone rules out most pairs, unless the radius comes near the 32 bits that any two words differ in
+    whole, more = 1 < len(words_a) <= 3 and radius > 26, np.empty(SUB * SUB, dtype=np.uint8)
     for i, j in zip(*np.nonzero(_gaps(lo_a, hi_a, lo_b, hi_b) <= radius), strict=True):
         if same and j < i:
             continue
@@ -129,11 +166,15 @@ def compare(a: np.ndarray, b: np.ndarray, radius: int, root: np.ndarray, same: b
         n = len(x) * len(y)
         np.bitwise_xor(x[:, None], y[None, :], out=diff[:n].reshape(len(x), len(y)))
         np.bitwise_count(diff[:n], out=bits[:n])
+        for u, v in zip(words_a[1:], words_b[1:], strict=True) if whole else ():
+            np.bitwise_xor(u[i * SUB : (i + 1) * SUB, None], v[None, j * SUB : (j + 1) * SUB], out=diff[:n].reshape(len(x), len(y)))
+            np.bitwise_count(diff[:n], out=more[:n])
+            np.add(bits[:n], more[:n], out=bits[:n])
         near = np.flatnonzero(bits[:n] <= radius)
         if not len(near):
             continue
         p, q = np.divmod(near, len(y))
-        if len(words_a) > 1:
+        if len(words_a) > 1 and not whole:
             rest = bits[near].astype(np.int16)
             for u, v in zip(words_a[1:], words_b[1:], strict=True):
                 rest += np.bitwise_count(u[i * SUB + p] ^ v[j * SUB + q])
@@ -276,6 +317,13 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def roots(fps: DataFrame, radius: int, words: int) -> DataFrame:
+    """fp and root, a fingerprint that stands for its component, for different fingerprints fp."""
+    t = checkpointed(tiles(fps, radius, words))
+    root = components(links(t, radius, words))
+    return members(t, words).join(root.withColumnRenamed("node", "tree"), "tree", "left").select("fp", F.coalesce("root", "tree").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, radius: int = 3, words: int = 1) -> DataFrame:
     """doc_id, fingerprint and component_id for each row of docs (doc_id, text; other columns are ignored).
 
@@ -285,15 +333,103 @@ def near_duplicates(docs: DataFrame, k: int = 5, radius: int = 3, words: int = 1
     fp = checkpointed(fingerprints(docs, k, words))
     # copies first: one row for each distinct fingerprint
     reps = fp.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    t = checkpointed(tiles(reps.select("fp"), radius, words))
-    root = components(links(t, radius, words))
-    known = reps.join(members(t, words), "fp").join(root.withColumnRenamed("node", "tree"), "tree", "left")
-    known = known.select("fp", "least", F.coalesce("root", "tree").alias("root"))
+    known = reps.join(roots(reps.select("fp"), radius, words), "fp")
     least = known.groupBy("root").agg(F.min("least").alias("component"))
     both = known.join(least, "root").select(F.col("fp").alias("__fp"), "component")
     return fp.join(both, F.col("fp") == F.col("__fp")).select("doc_id", F.col("fp").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def verify(fps: np.ndarray, sets: list[np.ndarray], radius: int, similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest of the links between rows whose fingerprints (n, words) are within radius and whose sets of
+    hashes have this Jaccard similarity at least. Pairs that verified links connect already aren't compared."""
+    size = np.array([len(x) for x in sets])
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    ids = np.split(ids, np.cumsum(size)[:-1])
+    mark = np.zeros(1 + max((int(x.max()) for x in ids if len(x)), default=0), dtype=np.int64)
+    label = np.arange(len(sets))
+    found = []
+    for i in range(len(sets) - 1):
+        if not size[i]:
+            continue
+        far = sum(np.bitwise_count(fps[i + 1 :, w] ^ fps[i, w]).astype(np.int16) for w in range(fps.shape[1]))
+        some = i + 1 + np.flatnonzero(far <= radius)
+        least, most = np.minimum(size[some], size[i]), np.maximum(size[some], size[i])
+        some = some[(label[some] != label[i]) & (size[some] > 0) & (least >= similarity * most - 1e-9)]
+        if not len(some):
+            continue
+        mark[ids[i]] = 1
+        starts = np.cumsum(size[some]) - size[some]
+        both = np.add.reduceat(mark[np.concatenate([ids[j] for j in some])], starts)
+        mark[ids[i]] = 0
+        for j in some[both >= similarity * (size[i] + size[some] - both) - 1e-9]:
+            if label[i] != label[j]:
+                label[label == label[j]] = label[i]
+                found.append((i, int(j)))
+    return found
+
+
+def verified_links(docs: DataFrame, candidates: DataFrame, k: int, radius: int, words: int, similarity: float) -> DataFrame:
+    """a, b: keys of shingle sets that are linked; candidates: key, text_key, fp and root of the candidate component.
+
+    A component of n sets is dealt over n / PIECE pieces by the hashes of its keys, and every two pieces are compared,
+    so that no task holds more than two pieces, however large a component is."""
+    n = candidates.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    held = candidates.join(n, "root").withColumn("pieces", F.ceil(F.col("n") / PIECE).cast("int"))
+    held = checkpointed(held.select("key", "text_key", "fp", "root", "pieces", F.pmod(F.xxhash64("key"), F.col("pieces")).cast("int").alias("piece")))
+    texts = docs.select(F.coalesce(F.md5("text"), F.lit("")).alias("tk"), "text").join(held.select(F.col("text_key").alias("tk")), "tk", "left_semi").dropDuplicates(["tk"])
+    asked = texts.join(held, F.col("tk") == F.col("text_key")).select("key", "fp", "root", "pieces", "piece", "text")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            sets = [np.sort(shingle_set(t, k)[1]).tobytes() for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(sets, pa.binary())], names=["key", "fp", "root", "pieces", "piece", "held"])
+
+    sets = asked.mapInArrow(hashed, "key string, fp string, root string, pieces int, piece int, held binary")
+    other = F.when(F.col("pieces") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("pieces") - 1), F.col("piece")))
+    units = sets.withColumn("other", F.explode(other)).select("root", F.least("piece", "other").alias("p"), F.greatest("piece", "other").alias("q"), "key", "fp", "held")
+    # the rows of a unit, about two pieces at most, follow each other
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    units = units.repartition(parts, "root", "p", "q").sortWithinPartitions("root", "p", "q", "key")
+
+    def found(unit: list[tuple[str, str, bytes]]) -> pa.RecordBatch:
+        held = [np.frombuffer(x, dtype="<u8") for _, _, x in unit]
+        pairs = verify(pack([f for _, f, _ in unit], words), held, radius, similarity)
+        ends = [pa.array([unit[pair[e]][0] for pair in pairs], pa.string()) for e in (0, 1)]
+        return pa.RecordBatch.from_arrays(ends, names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, unit = None, []
+        for b in batches:
+            for piece in slices([b]):
+                names = zip(*(piece.column(c).to_pylist() for c in ("root", "p", "q")), strict=True)
+                for name, *row in zip(names, *(piece.column(c).to_pylist() for c in ("key", "fp", "held")), strict=True):
+                    if name != at:
+                        if len(unit) > 1:
+                            yield found(unit)
+                        at, unit = name, []
+                    unit.append(tuple(row))
+        if len(unit) > 1:
+            yield found(unit)
+
+    return units.mapInArrow(run, "a string, b string")
+
+
+def verified_near_duplicates(docs: DataFrame, k: int, radius: int, words: int, similarity: float) -> DataFrame:
+    """doc_id, fingerprint and component_id as near_duplicates gives them, but two documents are linked only if the
+    Jaccard similarity of their sets of k-word shingles (compared by 64-bit hashes) is `similarity` at least.
+
+    SimHashes of the sets within radius give the candidates. Equal sets, as those of null and empty texts, are one."""
+    fp = checkpointed(sketches(docs, k, words))
+    reps = fp.groupBy("key").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.min("text_key").alias("text_key"))
+    known = checkpointed(reps.join(roots(reps.select("fp").distinct(), radius, words), "fp"))
+    candidates = known.select("key", F.coalesce("text_key", F.lit("")).alias("text_key"), "fp", "root")
+    root = components(verified_links(docs, candidates, k, radius, words, similarity))
+    known = known.select("key", "least").join(root.withColumnRenamed("node", "key"), "key", "left").select("key", "least", F.coalesce("root", "key").alias("root"))
+    least = known.groupBy("root").agg(F.min("least").alias("component"))
+    both = known.join(least, "root").select("key", "component")
+    return fp.join(both, "key").select("doc_id", F.col("fp").alias("fingerprint"), F.col("component").alias("component_id"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Over all of documents: 4-word shingles, 64 bits, links at 4 or fewer differing bits."""
     return near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"), k=4, radius=4)

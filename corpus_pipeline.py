@@ -23,9 +23,9 @@ BROADCAST_ROWS = 200_000
 
 
 def radius(similarity: float = SIMILARITY, bits: int = 64 * WORDS) -> int:
-    """Bits in which the SimHashes of two sets with this Jaccard similarity differ, with one standard deviation more."""
+    """Bits in which the SimHashes of two sets with this Jaccard similarity differ, with three standard deviations more."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.ceil(bits * p + math.sqrt(bits * p * (1 - p)))
+    return math.ceil(bits * p + 3 * math.sqrt(bits * p * (1 - p)))
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +35,9 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (5-word shingles, similarity 0.8, 128-bit SimHash) the least doc_id stays."""
-    found = neardup.near_duplicates(docs.select("doc_id", "text"), SHINGLE, radius(), WORDS)
+    """Of each group of near-duplicates (5-word shingles, similarity 0.8, candidates by 128-bit SimHash, each link
+    verified) the least doc_id stays."""
+    found = neardup.verified_near_duplicates(docs.select("doc_id", "text"), SHINGLE, radius(), WORDS, SIMILARITY)
     kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
     d = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
     # rows that share an id: one of them

@@ -145,3 +145,39 @@ def test_block_tables(spark):
     for radius, blocks in ((3, None), (2, 6), (0, 1)):
         got = {(x.query, x.fp) for x in fingerprints.within_radius(d, q, radius, blocks).collect()}
         assert got == {(a, b) for a in fps[:60] for b in fps if (int(a, 16) ^ int(b, 16)).bit_count() <= radius}
+
+
+def jaccard_components(texts, ids, k, similarity):
+    sets = [set(neardup.shingles(t or "", k)) for t in texts]
+    near = [[j for j in range(len(sets)) if len(x & sets[j]) >= similarity * len(x | sets[j]) - 1e-9] for x in sets]
+    label = list(ids)
+    while True:
+        new = [min(label[j] for j in near[i]) for i in range(len(sets))]
+        if new == label:
+            return label
+        label = new
+
+
+def edited(r, base, n):
+    """base with its last words replaced, so that n of its 5-word shingles are lost."""
+    return " ".join(base[: len(base) - n] + [f"x{r.getrandbits(60)}" for _ in range(n)])
+
+
+def test_stage_links_by_exact_shingles(spark, sf, monkeypatch):
+    """Near copies at 0.8 and more are linked, different documents that share much less than 0.8 are not; in pieces too."""
+    import corpus_pipeline
+
+    monkeypatch.setattr(neardup, "PIECE", 7)
+    r = random.Random(8)
+    texts = [x.text for x in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()] + [None, "", " ", "one two", "One  two"]
+    for n in (11, 11, 11, 17, 20, 24, 30) * 12:  # of 104 words: Jaccard 89/111 = 0.80 and less
+        base = [f"w{r.getrandbits(60)}" for _ in range(104)]
+        texts += [" ".join(base), edited(r, base, n)]
+    base = [f"w{r.getrandbits(60)}" for _ in range(104)]
+    texts += [edited(r, base, 5) for _ in range(40)] + [edited(r, base, 18) for _ in range(40)]  # pairs of the latter: 0.68
+    texts += ["a b c d e " * 40 + f"f{i}" for i in range(3)]
+    ids = list(range(len(texts)))
+    docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+    want = jaccard_components(texts, ids, 5, 0.8)
+    kept = sorted(x.doc_id for x in corpus_pipeline.near_dedup_stage(spark, docs, sf).select("doc_id").collect())
+    assert kept == sorted(set(want))
