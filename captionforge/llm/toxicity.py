@@ -13,8 +13,9 @@ A word's score is the difference of its two log-likelihoods. A document's is a l
 length-normalised differences over its characters and its different words and of its most telling words, fitted on
 labelled documents that the counts haven't seen.
 
-The counts cover all labelled rows of the counting folds; they are hashed to tables of fixed size, which is what the
-driver and the workers hold. The calibration takes CALIBRATION documents at most.
+The counts cover all labelled rows of the counting folds. The tables are keyed by the full 64-bit hashes of n-grams and
+grow with the number of different ones; the driver and each worker hold them. The calibration takes CALIBRATION
+documents at most.
 """
 
 from __future__ import annotations
@@ -33,7 +34,6 @@ from .common import read, slices
 
 ORDER, MIDDLE, LOW = 7, 4, 2
 DISCOUNT = 0.75
-TABLE_BITS = {"g7": 21, "c7": 20, "g4": 18, "c4": 17, "g2": 14, "c2": 12}
 CALIBRATION = 20_000
 THRESHOLD = 0.3
 MOST_CACHED = 150_000
@@ -79,23 +79,12 @@ def _grams(words: list[str]) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndar
 
 
 def _slots(h: np.ndarray, table: str) -> np.ndarray:
-    return (h >> np.uint64(64 - TABLE_BITS[table])).astype(np.int64)
+    """Where the n-grams with these hashes stand in a Table: their keys, the full hashes."""
+    return h
 
 
-def _packed(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Slots of the 7-grams of the words; c7 with g4, and c4 with g2 and c2, in one number each; the words' lengths.
-
-    Numbers of a few bits compress well; 64-bit hashes don't."""
-    g, _, lengths = _grams(words)
-    s = {k: _slots(v, k) for k, v in g.items()}
-    upper = s["c7"] << TABLE_BITS["g4"] | s["g4"]
-    lower = (s["c4"] << TABLE_BITS["g2"] | s["g2"]) << TABLE_BITS["c2"] | s["c2"]
-    return s["g7"], upper, lower, lengths
-
-
-def counts(labelled: DataFrame) -> DataFrame:
-    """One row per different 7-gram (by its slot and those of its parts): g7, c7, g4, c4, g2, c2 and in how many documents
-    of class 0 and 1 a word has it (n0, n1, words counted once per document). labelled: text, toxic."""
+def word_counts(labelled: DataFrame) -> DataFrame:
+    """word, and in how many documents of class 0 and 1 it stands (n0, n1). labelled: text, toxic."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
@@ -109,56 +98,104 @@ def counts(labelled: DataFrame) -> DataFrame:
             yield table(seen)
 
     def table(seen: tuple[Counter, Counter]) -> pd.DataFrame:
-        words = sorted(seen[0].keys() | seen[1].keys())
-        parts = []
-        for at in range(0, len(words), 1 << 14):
-            some = words[at : at + (1 << 14)]
-            g7, upper, lower, lengths = _packed(some)
-            n = [np.repeat(np.array([seen[y][w] for w in some], dtype=np.int32), lengths) for y in (0, 1)]
-            parts.append(pd.DataFrame({"g7": g7.astype(np.int32), "upper": upper, "lower": lower, "n0": n[0], "n1": n[1]}).groupby(["g7", "upper", "lower"], sort=False).sum().reset_index())
-        return pd.concat(parts).groupby(["g7", "upper", "lower"], sort=False).sum().reset_index().astype({"n0": "int64", "n1": "int64"})
-
-    rows = labelled.select("text", "toxic").mapInPandas(run, "g7 int, upper long, lower long, n0 long, n1 long")
-    rows = rows.groupBy("g7", "upper", "lower").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    low = lambda c, bits: c.bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
-    t = TABLE_BITS
-    return rows.select(
-        "g7", F.shiftright("upper", t["g4"]).cast("int").alias("c7"), low(F.col("upper"), t["g4"]).alias("g4"),
-        F.shiftright("lower", t["g2"] + t["c2"]).cast("int").alias("c4"), low(F.shiftright("lower", t["c2"]), t["g2"]).alias("g2"),
-        low(F.col("lower"), t["c2"]).alias("c2"), "n0", "n1",
-    )
+        words = list(seen[0].keys() | seen[1].keys())
+        return pd.DataFrame({"word": words, "n0": [seen[0][w] for w in words], "n1": [seen[1][w] for w in words]})
+
+    rows = labelled.select("text", "toxic").mapInPandas(run, "word string, n0 long, n1 long")
+    return rows.groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+
+
+def counts(labelled: DataFrame) -> DataFrame:
+    """One row per different 7-gram: the hashes g7, c7, g4, c4, g2, c2 of it and its parts, and in how many documents of
+    class 0 and 1 a word has it (n0, n1, words counted once per document). labelled: text, toxic.
+
+    Words are summed before they are cut into n-grams, so that hashes, which don't compress, are few."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            g, _, lengths = _grams(b["word"].tolist())
+            d = pd.DataFrame({k: v.view(np.int64) for k, v in g.items()})
+            first = d.drop_duplicates("g7").set_index("g7")
+            n = pd.DataFrame({"g7": d["g7"], "n0": np.repeat(b["n0"].to_numpy(), lengths), "n1": np.repeat(b["n1"].to_numpy(), lengths)}).groupby("g7").sum()
+            yield first.join(n).reset_index()[["g7", "c7", "g4", "c4", "g2", "c2", "n0", "n1"]]
+
+    rows = word_counts(labelled).mapInPandas(run, "g7 long, c7 long, g4 long, c4 long, g2 long, c2 long, n0 long, n1 long")
+    return rows.groupBy("g7").agg(*[F.min(c).alias(c) for c in ("c7", "g4", "c4", "g2", "c2")], F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+
+
+class Table:
+    """Numbers by 64-bit hash; 0 where there is none. table[i, h] and table[:, h] take hashes as an array would places.
+
+    The hashes are sorted; the first of those that begin with the same bits is known, and there are as many such
+    beginnings as hashes or more, so that a look-up takes a step or two at any size."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        order = np.argsort(keys)
+        self.keys = np.append(keys[order], np.uint64(0xFFFFFFFFFFFFFFFF))  # at the end a row of zeros
+        self.values = np.concatenate([values[:, order], np.zeros((len(values), 1), np.float32)], axis=1)
+        self.bits = max(1, int(len(keys)).bit_length())
+        n = np.bincount((keys >> np.uint64(64 - self.bits)).astype(np.int64), minlength=1 << self.bits)
+        self.first = np.concatenate([[0], np.cumsum(n)]).astype(np.int32 if len(keys) < 2**31 else np.int64)
+
+    def at(self, h) -> np.ndarray:
+        """The rows of hashes; the last row for those that the table doesn't have."""
+        h = np.asarray(h, dtype=np.uint64)
+        at = self.first[(h >> np.uint64(64 - self.bits)).astype(np.int64)].astype(np.int64).reshape(-1)
+        flat = h.reshape(-1)
+        last = len(self.keys) - 1
+        todo = np.flatnonzero(self.keys[at] < flat)
+        while len(todo):
+            at[todo] += 1
+            todo = todo[self.keys[at[todo]] < flat[todo]]
+        at[self.keys[at] != flat] = last
+        return at.reshape(h.shape)
+
+    def __getitem__(self, what):
+        if isinstance(what, tuple):
+            return self.values[what[0], self.at(what[1])]
+        return _Row(self, what)
+
+    def __eq__(self, other):
+        return np.array([np.array_equal(self.keys, other.keys), np.array_equal(self.values, other.values)])
+
+    __hash__ = None
+
+
+class _Row:
+    def __init__(self, table: Table, i: int):
+        self.table, self.i = table, i
+
+    def __getitem__(self, h):
+        return self.table[self.i, h]
 
 
 class Model:
-    """The hashed tables. Each is an array of fixed size, whatever the corpus."""
+    """The tables of n-grams and contexts; they grow with the corpus."""
 
     def __init__(self, grams: DataFrame):
-        slot = F.col
         one = lambda c: F.sum((F.col(c) > 0).cast("long"))
         grams = grams.persist()
         try:
-            self.g7 = self._table(grams.groupBy(slot("g7").alias("s")).agg(F.sum("n0"), F.sum("n1")), "g7", 2)
-            self.c7 = self._table(grams.groupBy(slot("c7").alias("s")).agg(F.sum("n0"), F.sum("n1"), one("n0"), one("n1")), "c7", 4)
+            self.g7 = self._table(grams.select("g7", "n0", "n1"))
+            self.c7 = self._table(grams.groupBy("c7").agg(F.sum("n0"), F.sum("n1"), one("n0"), one("n1")))
             # continuations: the different 7-grams in which an n-gram ends
             middle = grams.groupBy("g4").agg(F.min("c4").alias("c4"), F.count(F.lit(1)).alias("n"))
             low = grams.groupBy("g2").agg(F.min("c2").alias("c2"), F.count(F.lit(1)).alias("n"))
-            self.g4 = self._table(middle.groupBy(slot("g4").alias("s")).agg(F.sum("n")), "g4", 1)
-            self.c4 = self._table(middle.groupBy(slot("c4").alias("s")).agg(F.sum("n"), F.count(F.lit(1))), "c4", 2)
-            self.g2 = self._table(low.groupBy(slot("g2").alias("s")).agg(F.sum("n")), "g2", 1)
-            self.c2 = self._table(low.groupBy(slot("c2").alias("s")).agg(F.sum("n"), F.count(F.lit(1))), "c2", 2)
+            self.g4 = self._table(middle.select("g4", "n"))
+            self.c4 = self._table(middle.groupBy("c4").agg(F.sum("n"), F.count(F.lit(1))))
+            self.g2 = self._table(low.select("g2", "n"))
+            self.c2 = self._table(low.groupBy("c2").agg(F.sum("n"), F.count(F.lit(1))))
         finally:
             grams.unpersist()
         self.weights = self.mean = self.scale = None
 
     @staticmethod
-    def _table(sums: DataFrame, name: str, columns: int) -> np.ndarray:
-        """At most 2 ** TABLE_BITS[name] rows come to the driver."""
-        out = np.zeros((columns, 1 << TABLE_BITS[name]), dtype=np.float32)
-        got = sums.toArrow()
-        at = got.column(0).to_numpy()
-        for i in range(columns):
-            out[i, at] = got.column(i + 1).to_numpy()
-        return out
+    def _table(sums: DataFrame) -> Table:
+        """One row per different n-gram comes to the driver."""
+        kind = [F.col(f"`{c}`").cast("float").alias(str(i)) for i, c in enumerate(sums.columns[1:])]
+        got = sums.select(F.col(sums.columns[0]).alias("h"), *kind).toArrow()
+        keys = got.column(0).to_numpy().astype(np.int64).view(np.uint64)
+        return Table(keys, np.stack([got.column(i + 1).to_numpy().astype(np.float32) for i in range(len(kind))]))
 
     def ratios(self, words: list[str]) -> np.ndarray:
         """log P(word | toxic) - log P(word | ordinary)."""
@@ -173,8 +210,8 @@ class Model:
             p = (np.maximum(n - DISCOUNT, 0) + DISCOUNT * np.minimum(kinds, total) * lower) / t
             return np.where(total > 0, p, lower)
 
-        p = level(self.g2[0][s["g2"]], *self.c2[:, s["c2"]], np.full(len(s["g2"]), 1 / SYMBOLS))
-        p = level(self.g4[0][s["g4"]], *self.c4[:, s["c4"]], p)
+        p = level(self.g2[0, s["g2"]], *self.c2[:, s["c2"]], np.full(len(s["g2"]), 1 / SYMBOLS))
+        p = level(self.g4[0, s["g4"]], *self.c4[:, s["c4"]], p)
         p = np.maximum(p, 1e-9)
         c = self.c7[:, s["c7"]]
         n = self.g7[:, s["g7"]]

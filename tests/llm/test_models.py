@@ -58,6 +58,31 @@ def test_kneser_ney_by_hand(spark):
     assert m.ratios(["ac"])[0] > 0 > first
 
 
+def test_counts_of_a_large_vocabulary_are_exact(spark):
+    """As many n-grams as would fill tables of fixed size: none shares a count with another."""
+    import itertools
+    import random
+    from collections import Counter
+
+    r = random.Random(4)
+    texts = [(" ".join("".join(r.choices("abcdefghijklmnopqrstuvwxyzäöüßéèçñ", k=r.randint(4, 9))) for _ in range(400)), i % 2) for i in range(300)]
+    m = toxicity.Model(toxicity.counts(spark.createDataFrame(texts, "text string, toxic int").repartition(5)))
+    marked = lambda w: f"\x02{w}\x03"
+    seen = (Counter(), Counter())
+    for t, y in texts:
+        for w in set(t.split()):
+            seen[y].update(marked(w)[max(0, i - 6) : i + 1] for i in range(1, len(w) + 2))
+    grams = seen[0].keys() | seen[1].keys()
+    fours = Counter(g[-4:] for g in grams)
+    words = texts[0][0].split()
+    s, _, _ = toxicity._grams(words)
+    ends = list(itertools.chain(*([marked(w)[: i + 1] for i in range(1, len(w) + 2)] for w in words)))
+    assert m.g7[:, toxicity._slots(s["g7"], "g7")].T.tolist() == [[seen[0][e[-7:]], seen[1][e[-7:]]] for e in ends]
+    assert m.g4[0][toxicity._slots(s["g4"], "g4")].tolist() == [fours[e[-4:]] for e in ends]
+    unknown, _, _ = toxicity._grams(["жжжжжж"])
+    assert not m.g7[:, toxicity._slots(unknown["g7"], "g7")].any()
+
+
 def test_language_held_out(spark):
     d = langid.op10_language_id(spark, SF).toPandas()
     k = d.merge(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang").toPandas(), on="doc_id")
