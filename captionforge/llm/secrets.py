@@ -23,8 +23,9 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 LEAST = {"assign": 8, "access": 16, "hex": 32}
 
-#: A candidate for the models: a run of key characters that no letter or digit beyond ASCII touches.
-CANDIDATE = r"(?<![\p{L}\p{N}_+/=-])[A-Za-z0-9_+/-]{16,}={0,2}(?![\p{L}\p{N}_+/=-])"
+#: A candidate for the models: a run of key characters that no letter or digit beyond ASCII touches. Either side of
+#: name=value is one; "=" belongs to a run only as padding at its end.
+CANDIDATE = r"(?<![\p{L}\p{N}_+/-])[A-Za-z0-9_+/-]{16,}+(?:={1,2}(?![\p{L}\p{N}_+/=-]))?(?![\p{L}\p{N}_+/-])"
 LEAST_RATIO, LEAST_PER_CHAR = 12.0, 0.45
 KINDS = ("assign", "access", "hex", "markov")
 

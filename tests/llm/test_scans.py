@@ -46,6 +46,19 @@ def test_markov_models(spark):
     assert not any(found[i] for i in range(len(RANDOM), len(RANDOM + ORDINARY)))
 
 
+def test_secrets_beside_an_equals_sign(spark):
+    """name=value, quoted and in a URL; the names and ordinary values are none."""
+    padded = "Zx8QpL2mVt7RkW4nYb9HsD3gFj6KcA1eUo5iTg=="
+    forms = ["AWS_ACCESS_KEY_VALUE={}", "export PRIVATE_KEY={}\n", "x='{}'", 'name="{}"', "https://host.example/get?sig={}&user=1", "a=={} b", "get?id=5&sig={}"]
+    secret = [*RANDOM[:4], RANDOM[4], padded]
+    cases = [(f.format(x), [x]) for f in forms for x in secret]
+    cases += [(f.format(x), []) for f in forms for x in ORDINARY]
+    cases += [(f"{padded}=Zx8Q", [padded[:-2]]), ("=" * 60, []), ("ORGANIZATION_INTERNATIONAL=true", [])]
+    d = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    found = {r.doc_id: [x.value for x in r.secrets if x.kind == "markov"] for r in secrets.scan(d).collect()}
+    assert [found[i] for i in range(len(cases))] == [want for _, want in cases]
+
+
 def test_no_python_in_the_secret_scan(spark, sf):
     plan = secrets.op1_secrets(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
