@@ -6,7 +6,8 @@ position. A document's log-probability of a language is the mean over the positi
 The state begins anew with each run, so a run is computed once for all the places at which it stands.
 
 Trained in numpy by backpropagation through time, on at most PER_LANG documents a language (the least hashes of
-doc_id among those with a language outside fold 2) and RUNS runs of each.
+doc_id among those with a language outside fold 2) and RUNS runs of each, so PER_LANG * RUNS runs a language whatever
+the others have. Languages with fewer runs than the mean weigh more by the root of the ratio.
 """
 
 from __future__ import annotations
@@ -107,13 +108,14 @@ class Network:
         o -= np.log(np.exp(o).sum(axis=2, keepdims=True))
         return o, mask, (x, s, kf, kb)
 
-    def gradients(self, batch: list[bytes], y: np.ndarray) -> dict[str, np.ndarray]:
-        """Of the mean cross-entropy over all positions, by backpropagation through time."""
+    def gradients(self, batch: list[bytes], y: np.ndarray, weight: np.ndarray | None = None) -> dict[str, np.ndarray]:
+        """Of the mean cross-entropy over all positions, weighted by run, by backpropagation through time."""
         o, mask, (x, s, kf, kb) = self.positions(batch, keep=True)
         h = HIDDEN
         d = np.exp(o)
         d[:, np.arange(len(batch)), y] -= 1
-        d *= mask[:, :, None] / mask.sum()
+        by = mask if weight is None else mask * weight.astype(np.float32)
+        d *= by[:, :, None] / by.sum()
         g = {k: np.zeros_like(v) for k, v in self.p.items()}
         g["out"] = np.einsum("tnh,tnk->hk", s, d)
         g["out_b"] = d.sum(axis=(0, 1))
@@ -140,8 +142,13 @@ class Network:
         return g
 
     def fit(self, samples: list[tuple[bytes, int]], epochs: int = EPOCHS, rate: float = RATE, size: int = 256, seed: int = 5) -> Network:
-        """Adam with a falling rate over batches of like length, in an order fixed by the seed."""
+        """Adam with a falling rate over batches of like length, in an order fixed by the seed.
+
+        Runs of a language with fewer than the mean weigh more: by the root of the ratio, so that a stray one is learned
+        without ruling its batches."""
         r = np.random.default_rng(seed)
+        n = np.maximum(np.bincount([y for _, y in samples], minlength=len(self.langs)), 1)
+        weight = np.sqrt(np.maximum(n.mean() / n, 1))
         first, second = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2))
         order = sorted(range(len(samples)), key=lambda i: (len(samples[i][0]), i))
         batches = [order[i : i + size] for i in range(0, len(order), size)]
@@ -149,7 +156,8 @@ class Network:
         for _ in range(epochs):
             for b in r.permutation(len(batches)):
                 rows = [samples[i] for i in batches[b]]
-                g = self.gradients([x for x, _ in rows], np.array([y for _, y in rows]))
+                y = np.array([y for _, y in rows])
+                g = self.gradients([x for x, _ in rows], y, weight[y])
                 step += 1
                 now = rate * (1 - 0.9 * step / last)
                 for k, p in self.p.items():
@@ -200,11 +208,8 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, per_doc: int = RUNS) -> Net
     if not len(got):
         return None
     langs = sorted(got["lang"].unique())
-    # as many runs from each language as from the one with the fewest, or twice that
-    most = max(500, 2 * got.groupby("lang").size().min())
-    rows = pd.concat([g.sample(n=min(len(g), most), random_state=3) for _, g in got.groupby("lang")])
     index = {x: i for i, x in enumerate(langs)}
-    return Network(langs).fit([(as_bytes(w), index[x]) for w, x in zip(rows["run"], rows["lang"], strict=True)])
+    return Network(langs).fit([(as_bytes(w), index[x]) for w, x in zip(got["run"], got["lang"], strict=True)])
 
 
 def predict(docs: DataFrame, net: Network | None) -> DataFrame:

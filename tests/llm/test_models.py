@@ -90,6 +90,26 @@ def test_language_held_out(spark):
     assert (h.lang_pred == h.lang).mean() > 0.97 and d.score.between(0, 1).all()
 
 
+def test_a_stray_language_takes_nothing_from_the_others(spark, monkeypatch):
+    from collections import Counter
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    stray = next(i for i in range(10**9, 10**9 + 50) if __import__("zlib").crc32(str(i).encode()) % 4 != 2)
+    more = docs.union(spark.createDataFrame([(stray, "qa zu xo qi vu", "zz")], "doc_id long, text string, lang string"))
+    fit, seen = langid.Network.fit, []
+
+    def kept(self, samples, *a, **b):
+        seen.append(Counter(self.langs[y] for _, y in samples))
+        return fit(self, samples, *a, **b)
+
+    monkeypatch.setattr(langid.Network, "fit", kept)
+    langid.train(docs)
+    net = langid.train(more)
+    assert seen[1] == seen[0] | Counter({"zz": 5})
+    h = langid.predict(docs, net).join(docs.withColumnRenamed("doc_id", "d").drop("text"), langid.F.col("doc_id") == langid.F.col("d")).filter(langid.fold(langid.F.col("doc_id")) == 2).toPandas()
+    assert (h.lang_pred == h.lang).mean() > 0.97
+
+
 def test_language_of_nothing(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
     net = langid.train(docs)
