@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -32,27 +33,39 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def _shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names, which all executors share. Only where neither the session nor the
-    context names one (local tests) is a temporary folder used."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, which all executors share. Only a local master that names none gets a
+    temporary folder; on a cluster that would be the driver's own disk, so it is an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         where = spark.conf.get("spark.checkpoint.dir", None)
+        if where is None and not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="captionforge-checkpoint-"))
     return sc.getCheckpointDir()
 
 
+def store(folder: str):
+    """The pyarrow file system of a URI and the path in it."""
+    from pyarrow import fs
+
+    scheme, rest = folder.split(":", 1) if ":" in folder else ("file", folder)
+    if scheme == "file":
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    return fs.FileSystem.from_uri(folder.replace("s3a:", "s3:", 1))
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cuts the lineage by a checkpoint in the shared folder."""
-    _shared_folder(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, **options) -> DataFrame:
     """Cuts the lineage by a table in the shared folder. For loops: Spark plans the next round from the table's true
-    size, where a checkpoint keeps an estimate that grows as a product from round to round."""
-    path = f"{_shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    size, where a checkpoint keeps an estimate that grows as a product from round to round. options: of the writer."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -1,37 +1,41 @@
 """Operator 8: token ids as fixed-stride binary shards in training order.
 
 1. Every document is encoded with a public tokenizer (a path, never part of the package) and followed by an end token.
+   The ids are written as a table in the shared folder, each with its place in the tokens of its input partition.
 2. The documents form one stream of tokens, cut every `length` tokens: sequence k holds the tokens k * length to
    (k + 1) * length - 1. Where a partition begins in the stream is the sum of the partitions before it.
 3. A keyed Feistel permutation with cycle-walking gives every sequence a slot of the training order.
-4. A range sort by slot and one shuffle bring the pieces of a sequence together; a shard holds a fixed number of slots,
-   a record a fixed number of bytes, so that slot s begins at byte (s % per_shard) * stride of shard s // per_shard.
+4. One shuffle by ranges of slots brings the pieces of a shard together; each range writes its shards: files of a fixed
+   number of slots, a fixed number of bytes each, so that slot s begins at byte (s % per_shard) * stride of shard
+   s // per_shard. A file of document ids by slot stands beside each shard.
+5. read() opens the shard and byte of any slot and reads on from there; records() reads the shards back as rows.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import re
-import sys
-from array import array
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from .common import checkpointed, read, slices
+from .common import dropped, read as table, shared_folder, slices, store, written
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-# Fixed value: the pre-tokenizer pattern that belongs to the vocabulary.
-PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# Fixed value: the pre-tokenizer pattern that belongs to the vocabulary, in a form that never goes back over a run.
+PATTERN = r" ?\p{L}++|'(?:[sdmt]|ll|ve|re)| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 END = 50256
 LENGTH, PER_SHARD, KEY = 1024, 1024, "order-1"
-MOST_CACHED = 250_000
+#: Bytes of ids that a task cuts at a time.
+CHUNK = 1 << 24
+ZSTD = 6
 
 
 @lru_cache(maxsize=4)
@@ -43,70 +47,9 @@ def encoder(path: str):
     return tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-_CACHE: dict[str, dict[str | tuple[str], bytes]] = {}
-
-
-#: White space next to a space; elsewhere a space is between two characters that aren't white space.
-_ODD = re.compile(r" \s|\s |\A | \Z")
-#: A space between two characters that aren't white space: it always begins a piece of the pattern.
-_CUT = re.compile(r"(?<=\S) (?=\S)")
-
-
-def _bytes(ids: list[int]) -> bytes:
-    out = array("H", ids)
-    if sys.byteorder == "big":
-        out.byteswap()
-    return out.tobytes()
-
-
-_LINES = re.compile(r"\S+(?:\n\S+)+")
-
-
-def _part(part: str, enc, cache: dict[str | tuple[str], bytes], before: str = " ") -> bytes:
-    """Ids of a part with the space or line feed before it, when the cache doesn't have it. The pattern also begins a
-    piece at a line feed between two characters that aren't white space, and at a sign after a letter or digit."""
-    if "\n" in part and _LINES.fullmatch(part):
-        first, *rest = part.split("\n")
-        out = cache.get(first)
-        ids = [_part(first, enc, cache) if out is None else out]
-        for line in rest:
-            x = cache.get("\n" + line)
-            ids.append(_part(line, enc, cache, "\n") if x is None else x)
-        return b"".join(ids)
-    key = part if before == " " else before + part
-    if len(part) > 2 and part[-1] in ".,:;!?" and part[-2].isalpha():
-        word, sign = key[:-1], (part[-1],)
-        x = cache.get(word)
-        if x is None:
-            x = cache[word] = _bytes(enc.encode_ordinary(before + part[:-1]))
-        y = cache.get(sign)
-        if y is None:
-            y = cache[sign] = _bytes(enc.encode_ordinary(part[-1]))
-        return x + y
-    x = _bytes(enc.encode_ordinary(before + part))
-    if len(part) <= 64:
-        cache[key] = x
-    return x
-
-
 def encode(text: str | None, path: str = TOKENIZER) -> bytes:
-    """The token ids of a text as little-endian uint16; null and empty texts have none.
-
-    The text is cut where the pattern always begins a piece, at spaces between two characters that aren't white space;
-    the ids of each part, with its space, come from a cache of bounded size."""
-    if not text:
-        return b""
-    enc = encoder(path)
-    cache = _CACHE.setdefault(path, {})
-    if len(cache) >= MOST_CACHED:
-        cache.clear()
-    first, *rest = _CUT.split(text) if _ODD.search(text) else text.split(" ")
-    ids = list(map(cache.get, rest))
-    if None in ids:
-        for i, x in enumerate(ids):
-            if x is None:
-                ids[i] = _part(rest[i], enc, cache)
-    return _bytes(enc.encode_ordinary(first)) + b"".join(ids)
+    """The token ids of a whole text as little-endian uint16; null and empty texts have none."""
+    return encoder(path).encode_to_numpy(text).astype("<u2").tobytes() if text else b""
 
 
 # --- the permutation -----------------------------------------------------------------------------------------------
@@ -153,137 +96,202 @@ def feistel(x: np.ndarray, n: int, key: str, rounds: int = 6, inverse: bool = Fa
 
 
 def encoded(docs: DataFrame, path: str = TOKENIZER, end: int = END) -> DataFrame:
-    """doc_id, ids (uint16 tokens with the end token) and n for each row of docs (doc_id, text)."""
+    """doc_id, part (the input partition), at (tokens of the partition before this row), ids (uint16 tokens with the end
+    token) and n for each row of docs (doc_id, text)."""
     last = np.array([end], dtype="<u2").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, at = TaskContext.get().partitionId(), 0
         for b in slices(batches):
             ids = [encode(t, path) + last for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.binary()), pa.array([len(x) // 2 for x in ids], pa.int64())], names=["doc_id", "ids", "n"])
+            n = np.array([len(x) // 2 for x in ids], dtype=np.int64)
+            cols = [b.column("doc_id"), pa.array(np.full(len(n), part, np.int32)), pa.array(at + np.cumsum(n) - n), pa.array(ids, pa.binary()), pa.array(n)]
+            at += int(n.sum())
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "part", "at", "ids", "n"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary, n long")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, part int, at long, ids binary, n long")
 
 
-def sequences(docs: DataFrame, path: str = TOKENIZER, length: int = LENGTH, per_shard: int = PER_SHARD, key: str = KEY, end: int = END) -> DataFrame:
-    """One row per sequence: slot, shard, at_byte (in its shard), sequence, n_tokens, doc_ids and tokens.
+def _pieces(at: np.ndarray, n: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Documents at `at` with n tokens, cut at multiples of length: the document, begin and end (in the stream) of each piece."""
+    first, last = at // length, (at + n - 1) // length
+    count = last - first + 1
+    doc = np.repeat(np.arange(len(at)), count)
+    seq = first[doc] + np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+    return doc, np.maximum(at[doc], seq * length), np.minimum((at + n)[doc], (seq + 1) * length)
 
-    tokens has 2 * length bytes (uint16, little-endian); only the last sequence of the stream is padded, with the end
-    token, and n_tokens counts what isn't padding. The stream follows the rows as they are stored, so reruns over the
-    same files give the same bytes. Null and empty texts give their end token alone; repeated rows are separate
-    documents; an empty table gives no sequences; other columns are ignored. What is gathered on the driver is one
-    sum per partition."""
-    t = checkpointed(encoded(docs, path, end)).withColumn("part", F.spark_partition_id())
-    sums = {r[0]: r[1] for r in t.groupBy("part").agg(F.sum("n")).collect()}
-    base, total = {}, 0
-    for part in sorted(sums):
-        base[part] = total
-        total += sums[part]
+
+_HEAD = np.dtype([("slot", "<i8"), ("place", "<i4"), ("n", "<i4"), ("doc", "<i8"), ("null", "?")])
+
+
+def write_shards(docs: DataFrame, folder: str, path: str = TOKENIZER, length: int = LENGTH, per_shard: int = PER_SHARD, key: str = KEY, end: int = END) -> DataFrame:
+    """Writes the documents (doc_id, text; other columns are ignored) as shards and returns shard, path, records,
+    sequences (of the whole order) and sha256 of each, as a table in the shared folder.
+
+    folder: a URI that all executors reach (through pyarrow.fs). Null and empty texts give their end token alone; repeated
+    rows are separate documents; an empty table gives no shards. The last sequence of the stream is padded with the end
+    token. The stream follows the rows as they are stored, so reruns over the same files give the same bytes.
+
+    A shard is one task's work and has a fixed size; it is written to a temporary name and moved, so a repeated task
+    leaves a whole file. The ids' table is deleted when all shards stand."""
+    spark = docs.sparkSession
+    t = written(encoded(docs, path, end), compression="zstd", **{"parquet.compression.codec.zstd.level": ZSTD})
+    sums = written(t.groupBy("part").agg(F.sum("n").alias("n")))  # one row per input partition
+    total = sums.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     n = -(-total // length)
+    base = sums.select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    placed = t.join(F.broadcast(base), "part").select("doc_id", (F.col("base") + F.col("at")).alias("at"), "ids", "n")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = None
+        held, size = [], 0
         for b in batches:
-            if at is None and b.num_rows:
-                at = base[b.column("part")[0].as_py()]
-            seq, place, who, piece = [], [], [], []
-            size = 0
-            for d, ids in zip(b.column("doc_id").to_pylist(), b.column("ids").to_pylist(), strict=True):
-                done = 0
-                while done < len(ids):
-                    room = (length - at % length) * 2
-                    bite = ids[done : done + room]
-                    seq.append(at // length)
-                    place.append(at % length)
-                    who.append(d)
-                    piece.append(bite)
-                    done += len(bite)
-                    at += len(bite) // 2
-                    size += len(bite)
-                    if size > 1 << 22:
-                        yield rows(seq, place, who, piece)
-                        seq, place, who, piece, size = [], [], [], [], 0
-            if seq:
-                yield rows(seq, place, who, piece)
-
-    def rows(seq, place, who, piece) -> pa.RecordBatch:
-        slots = feistel(np.array(seq), n, key)
-        cols = [pa.array(slots), pa.array(seq, pa.int64()), pa.array(place, pa.int32()), pa.array(who, pa.int64()), pa.array(piece, pa.binary())]
-        return pa.RecordBatch.from_arrays(cols, names=["slot", "sequence", "place", "doc_id", "piece"])
-
-    pieces = t.select("part", "doc_id", "ids").mapInArrow(cut, "slot long, sequence long, place int, doc_id long, piece binary")
-    # the slots are 0..n-1, so even ranges of them are known without a sample
-    parts = max(1, min(n, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    dealt = pieces.repartitionById(parts, F.floor(F.col("slot") * parts / max(1, n)).cast("int")).sortWithinPartitions("slot", "place")
-    pad = np.array([end], dtype="<u2").tobytes()
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["slot", "sequence", "n_tokens", "doc_ids", "tokens"]
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary()]
-        open_: list | None = None
-
-        def closed(r: list) -> list:
-            body = b"".join(r[3])
-            return [r[0], r[1], len(body) // 2, r[2], body + pad * (length - len(body) // 2)]
-
-        for b in batches:
-            done = []
-            for slot, s, d, p in zip(*(b.column(c).to_pylist() for c in ("slot", "sequence", "doc_id", "piece")), strict=True):
-                if open_ is not None and open_[0] == slot:
-                    open_[2].append(d)
-                    open_[3].append(p)
-                else:
-                    if open_ is not None:
-                        done.append(closed(open_))
-                    open_ = [slot, s, [d], [p]]
-            if done:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done, strict=True), kinds, strict=True)], names=names)
-        if open_ is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(closed(open_), kinds, strict=True)], names=names)
-
-    out = dealt.mapInArrow(whole, "slot long, sequence long, n_tokens int, doc_ids array<long>, tokens binary")
-    shard = F.floor(F.col("slot") / per_shard).cast("long")
-    return out.select("slot", shard.alias("shard"), (F.pmod("slot", F.lit(per_shard)) * (2 * length)).cast("long").alias("at_byte"), "sequence", "n_tokens", "doc_ids", "tokens")
-
-
-def write_shards(seqs: DataFrame, folder: str) -> DataFrame:
-    """Writes the rows of sequences() as files shard-00000000.bin, ... and returns shard, path, records and sha256.
-
-    folder: a path or URI of a store that all executors reach (through pyarrow.fs). A shard is written to a temporary
-    name and moved, so a repeated task leaves a whole file; a shard is one task's work and has a fixed size."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import os
-        import uuid
-
-        from pyarrow import fs
-
-        where, at = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), os.path.abspath(folder))
+            for piece in slices([b]):
+                held.append(piece)
+                size += piece.column("ids").nbytes
+                if size > CHUNK:
+                    yield grouped(held)
+                    held, size = [], 0
+        if held:
+            yield grouped(held)
+
+    def grouped(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        """One row per shard that the documents have tokens for: the head and the tokens of each piece, compressed."""
+        b = pa.Table.from_batches(held).combine_chunks()
+        at, sizes = b.column("at").to_numpy(), b.column("n").to_numpy()
+        ids = b.column("doc_id")
+        null, who = ids.is_null().to_numpy(), ids.fill_null(0).to_numpy()
+        tokens = np.frombuffer(b"".join(b.column("ids").to_pylist()), dtype="<u2")
+        begins = np.cumsum(sizes) - sizes
+        doc, lo, hi = _pieces(at, sizes, length)
+        slot = feistel(lo // length, n, key)
+        head = np.zeros(len(doc), dtype=_HEAD)
+        head["slot"], head["place"], head["n"], head["doc"], head["null"] = slot, lo % length, hi - lo, who[doc], null[doc]
+        start = begins[doc] + lo - at[doc]
+        shard = slot // per_shard
+        order = np.argsort(shard, kind="stable")
+        edges = np.flatnonzero(np.diff(shard[order], prepend=-1, append=-1)) if len(order) else []
+        shards, raw, body = [], [], []
+        codec = pa.Codec("zstd", ZSTD)
+        for x, y in zip(edges[:-1], edges[1:], strict=True):
+            rows = order[x:y]
+            whole = len(rows).to_bytes(8, "little") + head[rows].tobytes() + b"".join(tokens[start[i] : start[i] + head["n"][i]].tobytes() for i in rows)
+            shards.append(int(shard[rows[0]])), raw.append(len(whole)), body.append(codec.compress(whole, asbytes=True))
+        return pa.RecordBatch.from_arrays([pa.array(shards, pa.int64()), pa.array(raw, pa.int64()), pa.array(body, pa.binary())], names=["shard", "raw", "body"])
+
+    # the slots are 0..n-1, so even ranges of shards are known without a sample
+    shards = -(-n // per_shard)
+    parts = max(1, min(shards, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    dealt = placed.mapInArrow(cut, "shard long, raw long, body binary")
+    dealt = dealt.repartitionById(parts, F.floor(F.col("shard") * parts / max(1, shards)).cast("int")).sortWithinPartitions("shard")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, at = store(folder)
         where.create_dir(at, recursive=True)
-        shard, records, digest, stream, temp = None, 0, None, None, ""
-
-        def close() -> pd.DataFrame:
-            stream.close()
-            name = f"{at}/shard-{shard:08d}.bin"
-            where.move(temp, name)
-            return pd.DataFrame({"shard": [shard], "path": [name], "records": [records], "sha256": [digest.hexdigest()]})
+        open_, held = None, []
+        for b in batches:
+            for shard, raw, body in zip(*(b.column(c).to_pylist() for c in ("shard", "raw", "body")), strict=True):
+                if shard != open_ and held:
+                    yield close(where, at, open_, held)
+                    held = []
+                open_ = shard
+                held.append((raw, body))
+        if held:
+            yield close(where, at, open_, held)
+
+    def close(where, at: str, shard: int, held: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        records = min(per_shard, n - shard * per_shard)
+        whole = np.full(records * length, end, dtype="<u2")
+        heads, codec = [], pa.Codec("zstd")
+        while held:
+            raw, body = held.pop()
+            x = codec.decompress(body, raw, asbytes=True)
+            count = int.from_bytes(x[:8], "little")
+            h = np.frombuffer(x, dtype=_HEAD, count=count, offset=8)
+            tokens = np.frombuffer(x, dtype="<u2", offset=8 + count * _HEAD.itemsize)
+            to = (h["slot"] - shard * per_shard) * length + h["place"]
+            ends = np.cumsum(h["n"].astype(np.int64))
+            for a, m, e in zip(to.tolist(), h["n"].tolist(), ends.tolist(), strict=True):
+                whole[a : a + m] = tokens[e - m : e]
+            heads.append(h)
+        h = np.concatenate(heads)
+        h = h[np.lexsort([h["place"], h["slot"]])]
+        ids = pa.table({"slot": h["slot"], "place": h["place"], "n": h["n"], "doc_id": pa.array(h["doc"], mask=h["null"].copy())})
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_file(sink, ids.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as f:
+            f.write_table(ids)
+        name = _name(at, shard)
+        for to, data in ((f"{name}.docs", sink.getvalue()), (name, pa.py_buffer(whole))):
+            temp = f"{at}/.{shard:08d}-{uuid.uuid4().hex}"
+            with where.open_output_stream(temp) as f:
+                f.write(data)
+            where.move(temp, to)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([shard]), pa.array([name]), pa.array([records], pa.int64()), pa.array([n], pa.int64()), pa.array([hashlib.sha256(whole).hexdigest()])],
+            names=["shard", "path", "records", "sequences", "sha256"])
+
+    done = written(dealt.mapInArrow(write, "shard long, path string, records long, sequences long, sha256 string"))
+    dropped(t), dropped(sums)
+    return done
+
+
+def _name(at: str, shard: int) -> str:
+    return f"{at}/shard-{shard:08d}.bin"
+
+
+def read(folder: str, slot: int, records: int, length: int = LENGTH, per_shard: int = PER_SHARD) -> np.ndarray:
+    """`records` sequences from `slot` on, (records, length), fewer at the end of the order: opens the shard of the slot,
+    seeks to its byte and reads on through the shards that follow. A reader that stopped after slot s resumes at s + 1."""
+    where, at = store(folder)
+    out, stride = [], 2 * length
+    while records > 0:
+        shard, begin = divmod(slot, per_shard)
+        info = where.get_file_info(_name(at, shard))
+        if not info.is_file or begin * stride >= info.size:
+            break
+        with where.open_input_file(info.path) as f:
+            f.seek(begin * stride)
+            got = np.frombuffer(f.read(min(records, per_shard - begin) * stride), dtype="<u2").reshape(-1, length)
+        out.append(got)
+        slot, records = slot + len(got), records - len(got)
+    return np.concatenate(out) if out else np.zeros((0, length), dtype="<u2")
+
+
+def records(shards: DataFrame, folder: str, length: int = LENGTH, per_shard: int = PER_SHARD, key: str = KEY) -> DataFrame:
+    """The rows of write_shards() read back from the files, one row per sequence: slot, shard, at_byte (in its shard),
+    sequence, n_tokens (without padding), doc_ids (of its pieces, in order) and tokens (2 * length bytes)."""
+    kinds = {"slot": pa.int64(), "shard": pa.int64(), "at_byte": pa.int64(), "sequence": pa.int64(), "n_tokens": pa.int32(), "doc_ids": pa.list_(pa.int64()), "tokens": pa.binary()}
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, at = store(folder)
         for b in batches:
-            for s, tokens in zip(b["shard"].tolist(), b["tokens"].tolist(), strict=True):
-                if s != shard:
-                    if shard is not None:
-                        yield close()
-                    shard, records, digest, temp = s, 0, hashlib.sha256(), f"{at}/.{s:08d}-{uuid.uuid4().hex}"
-                    stream = where.open_output_stream(temp)
-                stream.write(tokens)
-                digest.update(tokens)
-                records += 1
-        if shard is not None:
-            yield close()
-
-    dealt = seqs.select("shard", "slot", "tokens").repartitionByRange("shard").sortWithinPartitions("shard", "slot")
-    return dealt.mapInPandas(run, "shard long, path string, records long, sha256 string")
+            for shard, n in zip(b.column("shard").to_pylist(), b.column("sequences").to_pylist(), strict=True):
+                first = shard * per_shard
+                tokens = read(folder, first, per_shard, length, per_shard)
+                with where.open_input_file(f"{_name(at, shard)}.docs") as f:
+                    ids = pa.ipc.open_file(f).read_all()
+                slot, size = ids.column("slot").to_numpy(), ids.column("n").to_numpy()
+                count = np.bincount(slot - first, minlength=len(tokens))
+                slots = np.arange(first, first + len(tokens))
+                cols = [
+                    pa.array(slots), pa.array(np.full(len(slots), shard)), pa.array((slots - first) * 2 * length), pa.array(feistel(slots, n, key, inverse=True)),
+                    pa.array(np.bincount(slot - first, weights=size, minlength=len(tokens)).astype(np.int32)),
+                    pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), ids.column("doc_id").combine_chunks()),
+                    pa.array([r.tobytes() for r in tokens], pa.binary()),
+                ]
+                whole = pa.RecordBatch.from_arrays(cols, names=list(kinds))
+                yield from (whole.slice(i, 256) for i in range(0, whole.num_rows, 256))
+
+    # a row is a shard's work
+    dealt = shards.repartition(max(1, int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "shard")
+    return dealt.mapInArrow(run, "slot long, shard long, at_byte long, sequence long, n_tokens int, doc_ids array<long>, tokens binary")
+
+
+def sequences(docs: DataFrame, folder: str | None = None, path: str = TOKENIZER, length: int = LENGTH, per_shard: int = PER_SHARD, key: str = KEY, end: int = END) -> DataFrame:
+    """Shards of docs in folder (a new one in the shared folder unless given), read back as records()."""
+    folder = folder or f"{shared_folder(docs.sparkSession)}/shards-{uuid.uuid4().hex}"
+    return records(write_shards(docs, folder, path, length, per_shard, key, end), folder, length, per_shard, key)
 
 
 def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document as fixed-stride records in training order."""
-    return sequences(read(spark, sf_dir, "documents"))
+    """Every document in shards in training order; the records are read back from the shards."""
+    return sequences(table(spark, sf_dir, "documents"))
