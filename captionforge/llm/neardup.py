@@ -16,17 +16,18 @@ within each pair of pieces are checked on the exact shingles before components a
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import LOWER, UPPER, checkpointed, dropped, read, slices, written
+from .common import LOWER, UPPER, WORD, checkpointed, dropped, read, slices, written
 
 TILE, SUB = 16384, 256
 #: Small inputs are cut into so many tiles at least, to be compared in parallel.
@@ -39,25 +40,20 @@ _ASCII = str.maketrans(UPPER, LOWER)
 
 def shingles(text: str, k: int) -> list[str]:
     """The k-word shingles of a text, repeats included; of fewer words the whole sequence; none: empty."""
-    w = [x for x in _split(text.translate(_ASCII)) if x]
+    w = _split(text.translate(_ASCII))
     if len(w) <= k:
         return [" ".join(w)] if w else []
     return list(map(" ".join, zip(*(w[i:] for i in range(k)), strict=False)))
 
 
-#: str.split() also splits at other white space; these are turned to something that it leaves alone, and back.
-_OTHER = "\x1c\x1d\x1e\x1f\x85\xa0                　"
-_HIDE = {ord(c): chr(0xF0000 + i) for i, c in enumerate(_OTHER)}
-_SHOW = {0xF0000 + i: c for i, c in enumerate(_OTHER)}
+_WORD = re.compile(WORD)
+_OTHER = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 def _split(text: str) -> list[str]:
-    """Splits at runs of space, tab, line feed, vertical tab, form feed and carriage return only."""
-    if text.isascii() and not any(c in text for c in "\x1c\x1d\x1e\x1f"):
-        return text.split()
-    if not any(c in text for c in _OTHER):
-        return text.split()
-    return [x.translate(_SHOW) for x in text.translate(_HIDE).split()]
+    """The runs of characters other than space, tab, line feed, vertical tab, form feed and carriage return. str.split()
+    also splits at other white space, so it is for texts without any."""
+    return _WORD.findall(text) if _OTHER.search(text) else text.split()
 
 
 def fingerprint(text: str | None, k: int, words: int = 1, seed: int = 42) -> tuple[int, ...]:
@@ -90,9 +86,26 @@ def shingle_set(text: str | None, k: int, seed: int = 42) -> tuple[list[bytes],
     return raw, _hashes(raw, seed)
 
 
+def rank(doc_id: Column) -> Column:
+    """20 digits in the order of the ids; null comes last."""
+    zero = F.lit("9223372036854775808").cast("decimal(20,0)")
+    return F.coalesce(F.lpad((doc_id.cast("decimal(20,0)") + zero).cast("string"), 20, "0"), F.lit("~" * 20))
+
+
+def ranked_id(name: Column) -> Column:
+    """The id that a name begins with the rank of."""
+    zero = F.lit("9223372036854775808").cast("decimal(20,0)")
+    return F.when(~name.startswith("~"), (F.substring(name, 1, 20).cast("decimal(20,0)") - zero).cast("long"))
+
+
+def row_key(doc_id: Column, text: Column) -> Column:
+    """Equal for rows of the same id and text, in the order of the ids."""
+    return F.concat_ws(":", rank(doc_id), F.coalesce(F.md5(text), F.lit("")))
+
+
 def sketches(docs: DataFrame, k: int, words: int) -> DataFrame:
-    """doc_id, fp (the SimHash of the different shingles), key (a digest of the set of them) and text_key (of the text)
-    for each row of docs (doc_id, text)."""
+    """doc_id, fp (the SimHash of the different shingles), key (a digest of the set of them) and row_key for each row of
+    docs (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -101,9 +114,10 @@ def sketches(docs: DataFrame, k: int, words: int) -> DataFrame:
                 raw, h = shingle_set(t, k)
                 fps.append("".join(f"{w:016x}" for w in _majority(raw, words, 42, h)) if raw else "0" * 16 * words)
                 keys.append(xxhash.xxh3_128_hexdigest(np.sort(h).tobytes()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps, pa.string()), pa.array(keys, pa.string()), b.column("text_key")], names=["doc_id", "fp", "key", "text_key"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps, pa.string()), pa.array(keys, pa.string()), b.column("row_key")], names=["doc_id", "fp", "key", "row_key"])
 
-    return docs.select("doc_id", "text", F.md5("text").alias("text_key")).mapInArrow(run, "doc_id long, fp string, key string, text_key string")
+    keyed = docs.select("doc_id", "text", row_key(F.col("doc_id"), F.col("text")).alias("row_key"))
+    return keyed.mapInArrow(run, "doc_id long, fp string, key string, row_key string")
 
 
 def fingerprints(docs: DataFrame, k: int, words: int = 1) -> DataFrame:
@@ -264,9 +278,14 @@ def links(t: DataFrame, radius: int, words: int = 1) -> DataFrame:
     """a, b: standing fingerprints of components of different tiles that are linked; for each tile pair a spanning
     forest, so no more links than it has components."""
     # tile pairs by their ranges alone: one row per tile of TILE fingerprints, nothing of the fingerprints themselves
+    # the first block's counts rise with the tiles, so the tiles that may be near enough follow each other
     n = t.count()
+    first = BLOCKS - 1  # of a word's blocks the highest
+    least = dict(t.groupBy(F.get("lo", F.lit(first))).count().collect())  # 17 counts at most
+    upto = F.array(*[F.lit(sum(k for x, k in least.items() if x <= c)) for c in range(17)])
     ranges = t.select("tile", "lo", "hi", F.row_number().over(W.orderBy("tile")).alias("at"))
-    later = F.when(F.col("at") < n, F.sequence(F.col("at") + 1, F.lit(n)))
+    last = F.get(upto, F.least(F.lit(16), F.get("hi", F.lit(first)) + radius)).cast("int")
+    later = F.when(F.col("at") < last, F.sequence(F.col("at") + 1, last))
     a = ranges.select(F.col("tile").alias("a"), F.col("lo").alias("lo_a"), F.col("hi").alias("hi_a"), F.explode(later).alias("at"))
     b = ranges.select(F.col("tile").alias("b"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"), "at")
     gap = F.aggregate(
@@ -318,10 +337,20 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
 
 
 def roots(fps: DataFrame, radius: int, words: int) -> DataFrame:
-    """fp and root, a fingerprint that stands for its component, for different fingerprints fp."""
-    t = checkpointed(tiles(fps, radius, words))
-    root = components(links(t, radius, words))
-    return members(t, words).join(root.withColumnRenamed("node", "tree"), "tree", "left").select("fp", F.coalesce("root", "tree").alias("root"))
+    """fp and root, the name of its component, for fps: different fingerprints fp, and least (an id or null).
+
+    A tree of a tile is named by the rank of the least id of its fingerprints and the one that stands for it. So the
+    least name of a component tells its least id, and no rows need be brought together by component. What is joined to
+    the fingerprints is stored first, so that Spark may split a tree or fingerprint with many rows."""
+    t = checkpointed(tiles(fps.select("fp"), radius, words))
+    held = members(t, words)
+    named = held.join(fps, "fp").groupBy("tree").agg(F.min("least").alias("least"))
+    named = checkpointed(named.select("tree", F.concat_ws(":", rank(F.col("least")), "tree").alias("name")))
+    ends = [named.select(F.col("tree").alias(c), F.col("name").alias(f"name_{c}")) for c in "ab"]
+    edges = links(t, radius, words).join(ends[0], "a").join(ends[1], "b").select(F.col("name_a").alias("a"), F.col("name_b").alias("b"))
+    root = components(edges)
+    table = checkpointed(named.join(root.withColumnRenamed("node", "name"), "name", "left").select("tree", F.coalesce("root", "name").alias("root")))
+    return held.join(table, "tree").select("fp", "root")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, radius: int = 3, words: int = 1) -> DataFrame:
@@ -332,11 +361,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, radius: int = 3, words: int = 1
     ids reachable are null. An empty table gives an empty result."""
     fp = checkpointed(fingerprints(docs, k, words))
     # copies first: one row for each distinct fingerprint
-    reps = fp.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    known = reps.join(roots(reps.select("fp"), radius, words), "fp")
-    least = known.groupBy("root").agg(F.min("least").alias("component"))
-    both = known.join(least, "root").select(F.col("fp").alias("__fp"), "component")
-    return fp.join(both, F.col("fp") == F.col("__fp")).select("doc_id", F.col("fp").alias("fingerprint"), F.col("component").alias("component_id"))
+    reps = checkpointed(fp.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    known = checkpointed(roots(reps, radius, words).select(F.col("fp").alias("__fp"), ranked_id(F.col("root")).alias("component_id")))
+    return fp.join(known, F.col("fp") == F.col("__fp")).select("doc_id", F.col("fp").alias("fingerprint"), "component_id")
 
 
 def verify(fps: np.ndarray, sets: list[np.ndarray], radius: int, similarity: float) -> list[tuple[int, int]]:
@@ -369,27 +396,28 @@ def verify(fps: np.ndarray, sets: list[np.ndarray], radius: int, similarity: flo
 
 
 def verified_links(docs: DataFrame, candidates: DataFrame, k: int, radius: int, words: int, similarity: float) -> DataFrame:
-    """a, b: keys of shingle sets that are linked; candidates: key, text_key, fp and root of the candidate component.
+    """a, b: names of shingle sets that are linked; candidates: name, row_key (of a row that has the set), fp and root of
+    the candidate component.
 
-    A component of n sets is dealt over n / PIECE pieces by the hashes of its keys, and every two pieces are compared,
+    A component of n sets is dealt over n / PIECE pieces by the hashes of their names, and every two pieces are compared,
     so that no task holds more than two pieces, however large a component is."""
-    n = candidates.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    n = checkpointed(candidates.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     held = candidates.join(n, "root").withColumn("pieces", F.ceil(F.col("n") / PIECE).cast("int"))
-    held = checkpointed(held.select("key", "text_key", "fp", "root", "pieces", F.pmod(F.xxhash64("key"), F.col("pieces")).cast("int").alias("piece")))
-    texts = docs.select(F.coalesce(F.md5("text"), F.lit("")).alias("tk"), "text").join(held.select(F.col("text_key").alias("tk")), "tk", "left_semi").dropDuplicates(["tk"])
-    asked = texts.join(held, F.col("tk") == F.col("text_key")).select("key", "fp", "root", "pieces", "piece", "text")
+    held = checkpointed(held.select("name", "row_key", "fp", "root", "pieces", F.pmod(F.xxhash64("name"), F.col("pieces")).cast("int").alias("piece")))
+    texts = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("rk"), "text").join(held.select(F.col("row_key").alias("rk")), "rk", "left_semi").dropDuplicates(["rk"])
+    asked = texts.join(held, F.col("rk") == F.col("row_key")).select("name", "fp", "root", "pieces", "piece", "text")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             sets = [np.sort(shingle_set(t, k)[1]).tobytes() for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(sets, pa.binary())], names=["key", "fp", "root", "pieces", "piece", "held"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(sets, pa.binary())], names=["name", "fp", "root", "pieces", "piece", "held"])
 
-    sets = asked.mapInArrow(hashed, "key string, fp string, root string, pieces int, piece int, held binary")
+    sets = asked.mapInArrow(hashed, "name string, fp string, root string, pieces int, piece int, held binary")
     other = F.when(F.col("pieces") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("pieces") - 1), F.col("piece")))
-    units = sets.withColumn("other", F.explode(other)).select("root", F.least("piece", "other").alias("p"), F.greatest("piece", "other").alias("q"), "key", "fp", "held")
+    units = sets.withColumn("other", F.explode(other)).select("root", F.least("piece", "other").alias("p"), F.greatest("piece", "other").alias("q"), "name", "fp", "held")
     # the rows of a unit, about two pieces at most, follow each other
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    units = units.repartition(parts, "root", "p", "q").sortWithinPartitions("root", "p", "q", "key")
+    units = units.repartition(parts, "root", "p", "q").sortWithinPartitions("root", "p", "q", "name")
 
     def found(unit: list[tuple[str, str, bytes]]) -> pa.RecordBatch:
         held = [np.frombuffer(x, dtype="<u8") for _, _, x in unit]
@@ -402,7 +430,7 @@ def verified_links(docs: DataFrame, candidates: DataFrame, k: int, radius: int,
         for b in batches:
             for piece in slices([b]):
                 names = zip(*(piece.column(c).to_pylist() for c in ("root", "p", "q")), strict=True)
-                for name, *row in zip(names, *(piece.column(c).to_pylist() for c in ("key", "fp", "held")), strict=True):
+                for name, *row in zip(names, *(piece.column(c).to_pylist() for c in ("name", "fp", "held")), strict=True):
                     if name != at:
                         if len(unit) > 1:
                             yield found(unit)
@@ -414,20 +442,32 @@ def verified_links(docs: DataFrame, candidates: DataFrame, k: int, radius: int,
     return units.mapInArrow(run, "a string, b string")
 
 
+def _verified(docs: DataFrame, fp: DataFrame, k: int, radius: int, words: int, similarity: float) -> DataFrame:
+    """key, name and root (a name) for each different shingle set of fp, the sketches of docs. A name is the least
+    row_key of the rows with the set, and its key."""
+    reps = fp.groupBy("key").agg(F.min("row_key").alias("row_key"), F.min("fp").alias("fp"), F.min("doc_id").alias("least"))
+    reps = checkpointed(reps.select("key", "row_key", "fp", "least", F.concat_ws(":", "row_key", "key").alias("name")))
+    found = checkpointed(roots(reps.groupBy("fp").agg(F.min("least").alias("least")), radius, words))
+    candidates = checkpointed(reps.join(found, "fp").select("key", "name", "row_key", "fp", "root"))
+    root = components(verified_links(docs, candidates.drop("key"), k, radius, words, similarity))
+    return candidates.select("key", "row_key", "name").join(root.withColumnRenamed("node", "name"), "name", "left").select("key", "row_key", "name", F.coalesce("root", "name").alias("root"))
+
+
 def verified_near_duplicates(docs: DataFrame, k: int, radius: int, words: int, similarity: float) -> DataFrame:
     """doc_id, fingerprint and component_id as near_duplicates gives them, but two documents are linked only if the
     Jaccard similarity of their sets of k-word shingles (compared by 64-bit hashes) is `similarity` at least.
 
     SimHashes of the sets within radius give the candidates. Equal sets, as those of null and empty texts, are one."""
     fp = checkpointed(sketches(docs, k, words))
-    reps = fp.groupBy("key").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.min("text_key").alias("text_key"))
-    known = checkpointed(reps.join(roots(reps.select("fp").distinct(), radius, words), "fp"))
-    candidates = known.select("key", F.coalesce("text_key", F.lit("")).alias("text_key"), "fp", "root")
-    root = components(verified_links(docs, candidates, k, radius, words, similarity))
-    known = known.select("key", "least").join(root.withColumnRenamed("node", "key"), "key", "left").select("key", "least", F.coalesce("root", "key").alias("root"))
-    least = known.groupBy("root").agg(F.min("least").alias("component"))
-    both = known.join(least, "root").select("key", "component")
-    return fp.join(both, "key").select("doc_id", F.col("fp").alias("fingerprint"), F.col("component").alias("component_id"))
+    known = checkpointed(_verified(docs, fp, k, radius, words, similarity).select("key", ranked_id(F.col("root")).alias("component_id")))
+    return fp.join(known, "key").select("doc_id", F.col("fp").alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, k: int, radius: int, words: int, similarity: float) -> DataFrame:
+    """row_key of one document of each group of verified_near_duplicates: of those with the least id (null ids last) the
+    one with the least digest of its text. Groups are of rows, so different texts under one id are judged apart."""
+    fp = checkpointed(sketches(docs, k, words))
+    return _verified(docs, fp, k, radius, words, similarity).filter(F.col("name") == F.col("root")).select("row_key")
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
