@@ -12,7 +12,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from captionforge.llm import decontam, mixing, neardup, tokenpack, toxicity
 from captionforge.llm.common import checkpointed, read
@@ -29,24 +28,30 @@ def radius(similarity: float = SIMILARITY, bits: int = 64 * WORDS) -> int:
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity models reject go."""
+    """Documents that the toxicity models reject go. Null, empty and wordless texts stay, as do all if there are no labels;
+    repeated rows are judged alike, and rows that share an id each by its own text."""
     model = toxicity.train(docs, read(spark, sf_dir, "labels"))
     return toxicity.score(docs, model).filter(F.col("toxic_predicted") == 0).select(*[F.col(c) for c in docs.columns])
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (5-word shingles, similarity 0.8, candidates by 128-bit SimHash, each link
-    verified) the least doc_id stays."""
-    found = neardup.verified_near_duplicates(docs.select("doc_id", "text"), SHINGLE, radius(), WORDS, SIMILARITY)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    d = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
-    # rows that share an id: one of them
-    w = W.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.xxhash64(*docs.columns))
-    return d.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
+    verified) one document stays: of those with the least doc_id the one with the least digest of its text.
+
+    Groups are of texts: rows that share an id but not their text are judged apart, and a null id comes last. Null, empty
+    and wordless texts are copies of each other. Of rows with the same id and text the one with the least hash of all
+    columns stays. An empty table gives an empty one."""
+    kept = neardup.representatives(docs.select("doc_id", "text"), SHINGLE, radius(), WORDS, SIMILARITY)
+    row = F.struct(*[F.col(f"`{c}`").alias(str(i)) for i, c in enumerate(docs.columns)])
+    # rows of one key are combined before the shuffle, so many equal ones are few
+    one = docs.select(neardup.row_key(F.col("doc_id"), F.col("text")).alias("row_key"), row.alias("row"), F.xxhash64(*[f"`{c}`" for c in docs.columns]).alias("h"))
+    one = one.groupBy("row_key").agg(F.min_by("row", "h").alias("row"))
+    return one.join(kept, "row_key", "left_semi").select(*[F.col(f"row.`{i}`").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a window of a benchmark item occurs go."""
+    """Documents in which a window of a benchmark item occurs go. Null and empty texts stay; rows that share an id are judged
+    each by its own text, repeated rows alike; an empty benchmark takes nothing away."""
     keyed = docs.select("doc_id", F.xxhash64("text").alias("k"), decontam.tokens(F.col("text")).alias("t"))
     hits = decontam.occurrences(keyed, read(spark, sf_dir, "benchmark"))
     hits = checkpointed(hits.select(F.col("doc_id").alias("__id"), F.col("k").alias("__k")).distinct())
@@ -56,12 +61,14 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix in order of virtual finish time; a document taken twice has two rows."""
+    """The mix in order of virtual finish time; a document taken twice has two rows, one taken in part a cut text. Texts
+    without words aren't taken; a null source is a source of its own; repeated rows are separate documents."""
     return mixing.mix(docs).select(*[F.col(c) for c in docs.columns])
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Fixed-stride token records in training order."""
+    """Fixed-stride shards in training order, written to the shared folder; their records, read back. Null and empty texts
+    give their end token alone; repeated rows are separate documents; an empty table gives no records."""
     return tokenpack.sequences(docs)
 
 
