@@ -32,8 +32,8 @@ UNKNOWN = "und"
 
 
 def fold(doc_id: Column) -> Column:
-    """crc32 of the id as text, modulo 4; 2 is held out."""
-    return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4))
+    """crc32 of the id as text, modulo 4; 2 is held out. A null id has fold -1: it isn't held out, nor learned from."""
+    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)), F.lit(-1))
 
 
 def runs(text: str) -> list[bytes]:

@@ -13,7 +13,7 @@ A word's score is the difference of its two log-likelihoods. A document's is a l
 length-normalised differences over its characters and its different words and of its most telling words, fitted on
 labelled documents that the counts haven't seen.
 
-The counts cover all labelled rows of the counting folds. The tables are keyed by the full 64-bit hashes of n-grams and
+The counts cover all labelled rows that may be learned from but those of the calibration. The tables are keyed by the full 64-bit hashes of n-grams and
 grow with the number of different ones; the driver and each worker hold them. The calibration takes CALIBRATION
 documents at most.
 """
@@ -46,8 +46,8 @@ SYMBOLS = 500.0
 
 
 def fold(doc_id: Column) -> Column:
-    """crc32 of the id as text, modulo 4; 2 is held out."""
-    return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4))
+    """crc32 of the id as text, modulo 4; 2 is held out. A null id has fold -1, which isn't held out and has no label."""
+    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)), F.lit(-1))
 
 
 def doc_words(text: str | None) -> list[str]:
@@ -261,16 +261,17 @@ N_FEATURES = 9
 
 
 def train(docs: DataFrame, labels: DataFrame, calibration: int = CALIBRATION) -> Model:
-    """From the rows that aren't held out: folds 0 and 1 are counted, of fold 3 `calibration` documents at most are
-    used to fit the logistic function. docs: doc_id, text; labels: doc_id, toxic (null: no label; several: the highest)."""
+    """From the rows that aren't held out: of fold 3 `calibration` documents at most are used to fit the logistic function,
+    all others are counted. docs: doc_id, text; labels: doc_id, toxic (null: no label; several: the highest)."""
     known = labels.filter(F.col("toxic").isNotNull()).groupBy(F.col("doc_id").alias("l_id")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     d = docs.select("doc_id", "text").filter(F.col("text").isNotNull())
-    seen = known.filter(fold(F.col("l_id")) < 2)
+    # ids that are rows of labels and at most `calibration`
+    chosen = known.filter(fold(F.col("l_id")) == 3).orderBy(F.xxhash64("l_id"), "l_id").limit(calibration)
+    seen = known.filter(fold(F.col("l_id")).isin(0, 1, 3)).join(F.broadcast(chosen.select("l_id")), "l_id", "left_anti")
     if seen.count() <= BROADCAST_ROWS:
         seen = F.broadcast(seen)
-    counted = d.filter(fold(F.col("doc_id")) < 2).join(seen, F.col("doc_id") == F.col("l_id"))
+    counted = d.filter(fold(F.col("doc_id")).isin(0, 1, 3)).join(seen, F.col("doc_id") == F.col("l_id"))
     model = Model(counts(counted))
-    chosen = known.filter(fold(F.col("l_id")) == 3).orderBy(F.xxhash64("l_id"), "l_id").limit(calibration)
     picked = d.filter(fold(F.col("doc_id")) == 3).join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id")).select("text", "toxic")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
