@@ -60,7 +60,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
                 free = m.end()
     if _DIGIT.search(text):
         for m in _IP.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+            if all(len(p) <= 3 and int(p or "0") <= 255 for p in (x.lstrip("0") for x in m[0].split("."))):
                 out.append((1, *m.span()))
         for m in _CARD.finditer(text):
             if m.end() - m.start() >= 16:
@@ -111,8 +111,6 @@ def signature(token: str) -> str:
     if cue:
         return f"cue:{cue}"
     core = token.strip(_OPEN)
-    if len(core) > 80:
-        return "long"
     digits = re.sub(r"[^0-9]", "", core)
     shape = re.sub(r"[0-9]+", lambda m: "9" * min(len(m[0]), 5), core)
     shape = re.sub(r"[^\W\d_]+", "a", shape)
@@ -125,7 +123,7 @@ def signature(token: str) -> str:
         flags += "V"
     if re.fullmatch(r"[^@\s]+@[^@\s]+\.[A-Za-z]{2,}", core):
         flags += "E"
-    return f"{shape[:24]}|{min(len(digits), 20)}|{flags}"
+    return f"{shape}|{len(digits)}|{flags}"
 
 
 def features(sig: str) -> list[str]:
@@ -134,6 +132,8 @@ def features(sig: str) -> list[str]:
         return [f"s={sig}"]
     shape, n, flags = sig.rsplit("|", 2)
     out = [f"shape={shape}", f"n={n}", *(f"flag={f}" for f in flags), "numeric" if int(n) else "odd"]
+    if int(n) > 19:
+        out.append("beyond any number")
     if int(n) and not re.search(r"a", shape):
         out.append("all-numeric")
     if shape.startswith("("):
@@ -148,7 +148,7 @@ def around(sig: str, where: str) -> list[str]:
         return [f"{where}={sig}"]
     if "|" in sig:
         shape, n, flags = sig.rsplit("|", 2)
-        return [f"{where}=n{n}", f"{where}=shape{shape[:8]}", *(f"{where}=f{f}" for f in flags)]
+        return [f"{where}=n{n}", f"{where}=shape{shape}", *(f"{where}=f{f}" for f in flags)]
     return [f"{where}=plain"]
 
 
