@@ -172,8 +172,9 @@ def features(bs: list[Block]) -> list[list[str]]:
         f.append(f"links={min(3, 4 * b.linked // max(n, 1))}")
         words = b.text.split(" ")
         f.append("sentence" if b.text[-1] in ".!?:\"'”»。" else "open")
-        if any(w.lower().strip(".,:;!?") in CUES for w in words[:40]):
-            f.append("cue")
+        cues = sum(w.strip(".,:;!?") in CUES for w in b.text.lower().split(" "))
+        if cues:  # what they are among the words of the whole block
+            f.append(f"cues={'few' if 16 * cues <= len(words) else 'some' if 4 * cues <= len(words) else 'many'}")
         f.append(f"words={min(4, len(words).bit_length())}")
         own.append(f)
     out = []
