@@ -1,6 +1,7 @@
 """Operator 10: language identification by a bidirectional gated recurrent network over bytes.
 
-A text is read in runs: what stands between white space, with a space at either end, in pieces of MOST_BYTES bytes.
+A text is read in runs: what stands between white space, with a space at either end; a run of more than MOST_BYTES bytes
+is read in windows of a fourth as many characters, each of which begins in the middle of the one before.
 A forward and a backward gated recurrent network read the bytes of a run; from both states a softmax labels every
 position. A document's log-probability of a language is the mean over the positions of all its runs that hold letters.
 The state begins anew with each run, so a run is computed once for all the places at which it stands.
@@ -45,7 +46,7 @@ def runs(text: str) -> list[bytes]:
                 out.append(w)
         else:
             b = w.encode("utf-8", "replace")
-            out += [w] if len(b) <= MOST_BYTES else [w[i : i + MOST_BYTES // 4] for i in range(0, len(w), MOST_BYTES // 4)]
+            out += [w] if len(b) <= MOST_BYTES else [w[i : i + MOST_BYTES // 4] for i in range(0, len(w) - MOST_BYTES // 8, MOST_BYTES // 8)]
     return out
 
 
