@@ -9,15 +9,20 @@ DataFrame functions only.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import ascii_lower, read, words
+from .common import ascii_lower, checkpointed, read, words
 
 BITS = 128
 CHUNK = 60_000  # under 2**16, what a lane holds
-ROWS_A_BUCKET, MOST_BUCKETS = 64, 4096
+#: Ranges of doc_id hold about so many rows; over FINE ranges they grow, up to MOST_ROWS rows each.
+ROWS_A_BUCKET, FINE, MOST_ROWS = 64, 4096, 100_000
+#: Hamming radius of the search that op7 makes.
+RADIUS = 3
 SPREAD, LANES = 0x0000200040008001, 0x0001000100010001
 
 
@@ -84,26 +89,27 @@ def with_next(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) with bucket, rn, own, and nxt: the text of the next document by descending doc_id.
 
     Null ids come last; of equal ids the lesser text comes first; after the last document comes the first. The rows are
-    cut into ranges of doc_id of about ROWS_A_BUCKET rows; a copy of each range's first row (own is false) goes to the
-    range before, so that one shuffle by range brings every document and its successor together. What the driver gets
-    is MOST_BUCKETS cut points and first ids."""
+    cut into ranges of doc_id of about ROWS_A_BUCKET rows (up to MOST_ROWS, where there would be more than FINE ranges); a
+    copy of each range's first row (own is false) goes to the range before, so that one shuffle by range brings every
+    document and its successor together. What the driver gets is a cut point and a first id for each range."""
     ids = docs.select("doc_id")
     n = ids.count()
-    nb = max(1, min(MOST_BUCKETS, n // ROWS_A_BUCKET))
+    nb = max(1, min(FINE, n // ROWS_A_BUCKET), n // MOST_ROWS)
     cuts: list[int] = []
     if nb > 1:
-        got = ids.agg(F.percentile_approx("doc_id", [i / nb for i in range(1, nb)], 10_000)).first()[0]
+        got = ids.agg(F.percentile_approx("doc_id", [i / nb for i in range(1, nb)], max(10_000, 2 * nb))).first()[0]
         cuts = sorted(set(got or []))
 
     def bucket(c: Column) -> Column:
-        """0 for null, else 1 + the number of cut points up to c; looked up in two steps of 64."""
+        """0 for null, else 1 + the number of cut points up to c; looked up in two steps."""
         if not cuts:
             return F.when(c.isNull(), F.lit(0)).otherwise(F.lit(1))
         all_cuts = F.array(*[F.lit(int(x)).cast("long") for x in cuts])
-        heads = F.array(*[F.lit(int(x)).cast("long") for x in cuts[63::64]]).cast("array<bigint>")
+        step = math.isqrt(len(cuts)) + 1
+        heads = F.array(*[F.lit(int(x)).cast("long") for x in cuts[step - 1 :: step]]).cast("array<bigint>")
         outer = F.size(F.filter(heads, lambda x: x <= c))
-        inner = F.size(F.filter(F.slice(all_cuts, outer * 64 + 1, 64), lambda x: x <= c))
-        return F.when(c.isNull(), F.lit(0)).otherwise(outer * 64 + inner + 1)
+        inner = F.size(F.filter(F.slice(all_cuts, outer * step + 1, step), lambda x: x <= c))
+        return F.when(c.isNull(), F.lit(0)).otherwise(outer * step + inner + 1)
 
     firsts = ids.groupBy(bucket(F.col("doc_id")).alias("bucket")).agg(F.max("doc_id").alias("first")).orderBy(F.desc("bucket")).collect()
     # the first id of a range belongs also to the range before it, the very first to the last
@@ -155,7 +161,9 @@ def within_radius(fps: DataFrame, queries: DataFrame, radius: int, blocks: int |
 
 
 def op7_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints of every document and of its edited text, and their likeness to each other and to the next's."""
+    """Fingerprints of every document and of its edited text, and their likeness to each other and to the next's.
+
+    n_near: for documents whose id is divisible by 20, how many others the block tables find within RADIUS bits; else null."""
     d = with_next(read(spark, sf_dir, "documents").select("doc_id", "text"))
     keys = ["bucket", "own", "rn", "doc_id", "n_chars", "sha"]
     e = edited(F.col("text"), F.col("nxt"))
@@ -168,7 +176,15 @@ def op7_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     fps = fps.groupBy(*keys).agg(F.max(F.when(F.col("which") == 0, F.col("fp"))).alias("fp"), F.max(F.when(F.col("which") == 1, F.col("fp"))).alias("efp"))
     w = W.partitionBy("bucket").orderBy("rn")
     out = fps.select("*", F.lead("fp").over(w).alias("nfp")).filter("own")
+    out = checkpointed(out.select("doc_id", "n_chars", "sha", "fp", "efp", "nfp"))
+    # the search: every document whose id is divisible by 20 against all, copies collapsed
+    asked = out.filter(F.pmod("doc_id", F.lit(20)) == 0)
+    size = out.groupBy(F.col("fp").alias("s_fp")).agg(F.count(F.lit(1)).alias("n"))
+    near = within_radius(out.select("fp"), asked.select("fp"), RADIUS).join(size, F.col("fp") == F.col("s_fp"))
+    near = checkpointed(near.groupBy("query").agg(F.sum("n").alias("n")))
+    out = out.join(near, (F.col("fp") == F.col("query")) & (F.pmod("doc_id", F.lit(20)) == 0), "left")
     return out.select(
         "doc_id", "n_chars", F.col("sha").alias("edited_sha256"), F.col("fp").alias("fingerprint"), F.col("efp").alias("edited_fingerprint"),
         likeness(F.col("fp"), F.col("efp")).alias("near_edited"), likeness(F.col("fp"), F.col("nfp")).alias("near_next"),
+        (F.col("n") - 1).alias("n_near"),
     )
