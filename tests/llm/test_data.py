@@ -47,6 +47,7 @@ def test_proximity(spark):
     t = d.select("doc_id", decontam.tokens(F.col("text")).alias("t"))
     found = decontam.proximity(t, i, size=2, slack=2)
     assert {r.doc_id for r in found.collect()} == {1, 3}
+    assert [(r.doc_id, r.near_ids) for r in decontam.contamination(d, i, 2, 2).orderBy("doc_id").collect()] == [(1, ["1"]), (2, []), (3, ["1"])]
     assert {r.doc_id for r in decontam.occurrences(t, i, size=2).collect()} == set()
 
 
@@ -112,8 +113,9 @@ def test_encoding_in_parts():
 
 def test_shards(spark, sf, tmp_path):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    seqs = tokenpack.sequences(docs, length=128, per_shard=64).cache()
-    a = seqs.toPandas()
+    folder = f"file://{tmp_path}/shards"
+    done = tokenpack.write_shards(docs, folder, length=128, per_shard=64)
+    a = tokenpack.records(done, folder, length=128, per_shard=64).toPandas()
     n = len(a)
     assert sorted(a.slot) == list(range(n)) and set(map(len, a.tokens)) == {256}
     assert (a.shard == a.slot // 64).all() and (a.at_byte == a.slot % 64 * 256).all()
@@ -122,18 +124,38 @@ def test_shards(spark, sf, tmp_path):
     cuts = np.split(stream, np.nonzero(stream == tokenpack.END)[0] + 1)[:-1]
     e = tokenpack.encoder(tokenpack.TOKENIZER)
     assert sorted(e.decode(c[:-1].tolist()) for c in cuts) == sorted(r.text for r in docs.select("text").collect())
-    assert {d for ids in a.doc_ids for d in ids} == {r.doc_id for r in docs.select("doc_id").collect()}
-    shards = tokenpack.write_shards(seqs, str(tmp_path / "shards")).collect()
-    assert sum(s.records for s in shards) == n
+    # the documents of a record, in order: those whose tokens it holds
+    ids = [r.doc_id for r in docs.select("doc_id").collect()]
+    ends = np.cumsum([len(c) for c in cuts])
+    for r in a.itertuples():
+        first, last = np.searchsorted(ends, [r.sequence * 128, r.sequence * 128 + r.n_tokens - 1], side="right")
+        assert list(r.doc_ids) == ids[first : last + 1]
+    shards = done.collect()
+    assert sum(s.records for s in shards) == n and {s.sequences for s in shards} == {n}
     for s in shards:
         with open(s.path, "rb") as f:
-            body = f.read()
-        assert hashlib.sha256(body).hexdigest() == s.sha256
-        for r in a[a.shard == s.shard].itertuples():
-            assert body[r.at_byte : r.at_byte + 256] == r.tokens
+            assert hashlib.sha256(f.read()).hexdigest() == s.sha256
     again = tokenpack.sequences(docs, length=128, per_shard=64).toPandas()
     assert dict(zip(again.slot, again.tokens, strict=True)) == dict(zip(a.slot, a.tokens, strict=True))
-    seqs.unpersist()
+
+
+def test_reading_shards_from_any_slot(spark, sf, tmp_path):
+    """Reads from the middle and resumes; what a killed task left, and a second writing, change nothing."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    folder = f"{tmp_path}/shards"
+    done = tokenpack.write_shards(docs, folder, length=64, per_shard=32).collect()
+    n = sum(s.records for s in done)
+    whole = tokenpack.read(folder, 0, n + 5, 64, 32)
+    assert whole.shape == (n, 64)
+    for slot, records in ((0, 1), (31, 2), (40, 100), (n - 3, 10), (n, 4)):
+        assert (tokenpack.read(folder, slot, records, 64, 32) == whole[slot : slot + records]).all()
+    part = tokenpack.read(folder, 10, 50, 64, 32)
+    assert (np.concatenate([part, tokenpack.read(folder, 60, n, 64, 32)]) == whole[10:]).all()
+    (tmp_path / "shards" / ".00000001-killed").write_bytes(b"half a shard")
+    (tmp_path / "shards" / "shard-00000001.bin").unlink()
+    again = tokenpack.write_shards(docs, folder, length=64, per_shard=32).collect()
+    assert {s.shard: s.sha256 for s in again} == {s.shard: s.sha256 for s in done}
+    assert (tokenpack.read(folder, 0, n, 64, 32) == whole).all()
 
 
 def test_pipeline(spark, sf):
@@ -180,3 +202,23 @@ def test_near_copies_in_the_pipeline(spark, sf):
             rows.append((100 + 2 * i + n, " ".join(v)))
     d = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(x.doc_id for x in p.near_dedup_stage(spark, d, sf).collect()) == list(range(40))
+
+
+def test_shared_ids_in_the_pipeline(spark, sf):
+    """Rows that share an id are judged by their texts: one row of each text stays, whatever the ids."""
+    import corpus_pipeline as p
+
+    text = {k: " ".join(f"{k}{i}" for i in range(60)) for k in "abcd"}
+    for rows, want in (
+        ([(3, "a"), (5, "a"), (5, "b")], [(3, "a"), (5, "b")]), ([(3, "c"), (5, "c"), (5, "d")], [(3, "c"), (5, "d")]),
+        ([(3, "b"), (5, "b"), (5, "c")], [(3, "b"), (5, "c")]), ([(None, "a"), (None, "a"), (None, "b"), (7, "b"), (7, "b")], [(None, "a"), (7, "b")]),
+    ):
+        d = spark.createDataFrame([(i, text[k], k, k) for i, k in rows], "doc_id long, text string, row string, row_key string")
+        got = p.near_dedup_stage(spark, d, sf)
+        assert got.columns == d.columns and sorted((str(r.doc_id), r.row) for r in got.collect()) == sorted((str(i), k) for i, k in want)
+
+
+def test_order_of_rows_does_not_change_the_mix(spark):
+    rows = [(1, f"{c}1 {c}2 {c}3 {c}4", "s") for c in "abcdef"] + [(None, f"{c}1 {c}2", "s") for c in "xyz"]
+    mixes = [[(r.doc_id, r.text) for r in mixing.mix(spark.createDataFrame(x, "doc_id long, text string, source string"), share=0.4).collect()] for x in (rows, rows[::-1])]
+    assert mixes[0] == mixes[1]

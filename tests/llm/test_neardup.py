@@ -20,7 +20,7 @@ def simhash(text, k, words=1):
     return out
 
 
-TEXTS = ["", " \n", "One", "one TWO three", "a b c d", "a b c d e f g " * 9, "x\x1cy z\x85w a b", "é漢 字 a　b c d e", "A\x0bB\x0cC\rD e"]
+TEXTS = ["", " \n", "One", "one TWO three", "a b c d", "a b c d e f g " * 9, "x\x1cy z\x85w a b", "é漢 字 a　b c d e", "A\x0bB\x0cC\rD e", "a\U000F0000b c\xa0d e f g h", "\u2028x \U000F0011"]
 
 
 @pytest.mark.parametrize("k,words", [(4, 1), (5, 2)])
@@ -116,6 +116,36 @@ def test_edited_texts_and_next(spark, sf):
     assert sum(x.near_edited > x.near_next for x in long) / len(long) > 0.98
 
 
+def voted(text):
+    """The 128-bit SimHash of op7 in plain Python: of each word with the one after it."""
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    w = re.findall(r"[^\x20\x09-\x0D]+", low)
+    first = []
+    for i, x in enumerate(w):
+        h = xxhash.xxh64_intdigest(x.encode(), 42)
+        first.append(xxhash.xxh64_intdigest(w[i + 1].encode(), h) if i + 1 < len(w) else h)
+    second = [xxhash.xxh64_intdigest(h.to_bytes(8, "little"), 42) for h in first]
+    word = lambda hs: sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+    return f"{word(second):016x}{word(first):016x}"
+
+
+def test_votes_against_plain_python(spark, sf):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    order = sorted(texts, reverse=True)
+    got = {r.doc_id: r for r in fingerprints.op7_simhash_fingerprints(spark, sf).collect()}
+    fps = {i: voted(texts[i]) for i in order}
+    near = lambda a, b: 1 - (int(a, 16) ^ int(b, 16)).bit_count() / 128
+    for n, i in enumerate(order):
+        nxt = order[(n + 1) % len(order)]
+        h = len(texts[i]) // 2
+        efp = voted(texts[i][: len(texts[i]) - h] + texts[nxt][:h])
+        r = got[i]
+        assert (r.fingerprint, r.edited_fingerprint) == (fps[i], efp)
+        assert (r.near_edited, r.near_next) == (near(fps[i], efp), near(fps[i], fps[nxt]))
+        others = sum((int(fps[i], 16) ^ int(f, 16)).bit_count() <= fingerprints.RADIUS for f in fps.values()) - 1
+        assert r.n_near == (others if i % 20 == 0 else None)
+
+
 def test_equal_texts_have_equal_fingerprints(spark):
     d = spark.createDataFrame([(1, "a b c"), (2, "A  b\nc"), (3, "a b d"), (4, None), (5, "")], "doc_id long, text string")
     fp = {r.doc_id: r.fp for r in fingerprints.fingerprints(d).collect()}

@@ -79,3 +79,44 @@ def test_sql_on_odd_rows(spark, odd_dir):
         c.sql(f"create view {t} as select * from '{odd_dir}/{t}.parquet/*.parquet'")
     for name, sql in queries.ORACLES.items():
         assert rows(queries.QUERIES[name](spark, odd_dir).toPandas()) == rows(c.sql(sql).df()), name
+
+
+def odd(spark, odd_dir, name):
+    return queries.QUERIES[name](spark, odd_dir).toPandas()
+
+
+def test_values_on_odd_rows(spark, odd_dir):
+    """Nulls, empty, long, repeated and clashing rows: what each query gives for them."""
+    import re
+
+    from test_neardup import components, simhash, voted
+    from test_scans import base_pii, base_secrets
+
+    from captionforge.llm import pii, tokenpack
+
+    docs = spark.read.parquet(f"{odd_dir}/documents.parquet").select("doc_id", "text").collect()
+    texts = sorted((str(r.doc_id), r.text or "") for r in docs)
+    key = lambda v: "None" if v != v or v is None else str(int(v))
+    both = lambda got, *cols: sorted((key(r.doc_id), *(getattr(r, c) for c in cols)) for r in got.itertuples())
+    sha = lambda t: __import__("hashlib").sha256(t.encode()).hexdigest()
+    assert both(odd(spark, odd_dir, "op1_secrets"), "base_sha256") == sorted((i, sha(base_secrets(t))) for i, t in texts)
+    assert both(odd(spark, odd_dir, "op2_pii"), "base_sha256") == sorted((i, sha(",".join(f"{pii.KINDS[k]}:{s}:{e}" for k, s, e in base_pii(t)))) for i, t in texts)
+    six = odd(spark, odd_dir, "op6_toxicity")
+    assert six.held_out.notna().all() and six.score.between(0, 1).all() and not six[six.doc_id.isna()].held_out.any()
+    seven = odd(spark, odd_dir, "op7_simhash_fingerprints")
+    assert both(seven, "n_chars", "fingerprint") == sorted((i, len(t), voted(t)) for i, t in texts)
+    nine = odd(spark, odd_dir, "op9_simhash_near_dedup")
+    fps = [simhash(t, 4) for _, t in texts]
+    ids = [float("inf") if i == "None" else int(i) for i, _ in texts]
+    want = sorted((i, f, "None" if c == float("inf") else str(c)) for (i, _), f, c in zip(texts, fps, components(fps, ids, 4), strict=True))
+    assert sorted((key(r.doc_id), r.fingerprint, key(r.component_id)) for r in nine.itertuples()) == want
+    ten = odd(spark, odd_dir, "op10_language_id")
+    assert ten.held_out.notna().all() and not ten[ten.doc_id.isna()].held_out.any()
+    assert {r.doc_id for r in ten.itertuples() if r.lang_pred == "und"} == {1, 2, 7} and (ten[ten.lang_pred == "und"].score == 0).all()
+    assert ten.groupby("doc_id").lang_pred.nunique().max() == 1
+    eight = odd(spark, odd_dir, "op8_token_ids")
+    assert eight.n_tokens.sum() == sum(len(tokenpack.encode(t)) // 2 + 1 for _, t in texts)
+    assert sorted({key(d) for ids in eight.doc_ids for d in ids}) == sorted({i for i, _ in texts})
+    five = odd(spark, odd_dir, "op5_html_text")
+    assert list(five.n_chars) == [len(t) for t in five.text] and (five[five.page_id.isna() | (five.page_id == 1)].text == "").all()
+    assert sorted(five.text.str.len())[:2] == [0, 0] and re.fullmatch("<*", five[five.page_id == 3].text.iloc[0])
