@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +16,7 @@ PUNCT = r"[\x00-\x7F&&[^\p{L}\p{Nd}\s]]"
 TOKEN = (
     rf"\[[^\]]*\]|(?!{WS}){SYM}{SYM}*|{CJK}|{PUNCT}(?:(?!\[){PUNCT})*|{LD}(?:{LD}|'(?={LD}))*"
 )
+# Fixed value: a leading speaker tag.
 LEADING_TAG = (
     r"\A(?:-+\s*)?(?:(?:\[[^\]]*\]\s*)+(?:[A-Z][A-Z0-9]*:\s*)?(?:\[[^\]]*\]\s*)*"
     r"|(?:[A-Z][A-Z0-9]*:\s*)(?:\[[^\]]*\]\s*)*)"
@@ -27,20 +30,44 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
 
 
-def gaps(text: Column) -> Column:
-    """The white space before each token."""
-    return F.regexp_extract_all(text, F.lit(rf"({WS}*)({TOKEN})"), F.lit(1))
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value evaluated once, also where body uses it within other lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def pieces(text: Column) -> Column:
+    """array<struct<gap, text>>: tokens with the white space before each."""
+    def parted(p: Column) -> Column:
+        first = F.substring(p, 1, 1)
+        token = F.when((first > " ") & (first < "\x7f"), p).otherwise(sub(p, rf"\A{WS}+", ""))
+        return let(token, lambda t: F.struct(F.substring(p, F.lit(1), F.length(p) - F.length(t)).alias("gap"), t.alias("text")))
+
+    return F.transform(F.regexp_extract_all(text, F.lit(rf"({WS}*)({TOKEN})"), F.lit(0)), parted)
+
+
+def running(sizes: Column) -> Column:
+    """For each element the sum of those before it. In blocks of the root of their number, so that what is copied grows
+    as the power 1.5."""
+    def of(v: Column, width: Column) -> Column:
+        blocks = F.transform(F.when(F.size(v) > 0, F.sequence(F.lit(0), F.size(v) - 1, width)).otherwise(F.array().cast("array<int>")), lambda i: F.slice(v, i + 1, width))
+        sums = lambda b, first: F.aggregate(b, F.array(first), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + x)))
+
+        def each(bs: Column) -> Column:
+            totals = F.transform(bs, lambda b: F.aggregate(b, F.lit(0), lambda s, x: s + x))
+            return let(sums(totals, F.lit(0)), lambda early: F.flatten(F.transform(bs, lambda b, i: F.slice(sums(b, F.get(early, i)), F.lit(1), F.size(b)))))
+
+        return let(blocks, each)
+
+    return let(sizes, lambda v: let(F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(v))).cast("int")), lambda width: of(v, width)))
 
 
 def with_starts(text: Column) -> Column:
     """array<struct<text, start>>: tokens with the positions at which they begin (code points, from 0)."""
-    zipped = F.arrays_zip(gaps(text).alias("gap"), tokens(text).alias("text"))
-    none = F.array().cast("array<struct<text:string,start:int>>")
-    step = lambda s, x: F.struct(
-        F.concat(s.done, F.array(F.struct(x.text.alias("text"), (s.at + F.length(x.gap)).alias("start")))).alias("done"),
-        (s.at + F.length(x.gap) + F.length(x.text)).alias("at"),
-    )
-    return F.aggregate(zipped, F.struct(none.alias("done"), F.lit(0).alias("at")), step, lambda s: s.done)
+    def placed(ps: Column) -> Column:
+        at = running(F.transform(ps, lambda p: F.length(p.gap) + F.length(p.text)))
+        return let(at, lambda a: F.transform(ps, lambda p, i: F.struct(p.text.alias("text"), (F.get(a, i) + F.length(p.gap)).alias("start"))))
+
+    return let(pieces(text), placed)
 
 
 def is_bracketed(t: Column) -> Column:
@@ -117,21 +144,19 @@ def promote_nearly_all(cls: Column, toks: Column) -> Column:
 
 def styled(text: Column, cls: Column) -> Column:
     """The text with italic runs in tags: space before a roman token is outside, between two italic ones inside."""
-    zipped = F.arrays_zip(gaps(text).alias("gap"), tokens(text).alias("text"), cls.alias("c"))
-    step = lambda s, x: F.struct(
-        F.concat(
-            s.out, F.when(s.on & ~_on(x), F.lit("</i>")).otherwise(F.lit("")), x.gap,
-            F.when(~s.on & _on(x), F.lit("<i>")).otherwise(F.lit("")), x.text,
-        ).alias("out"),
-        _on(x).alias("on"), (s.at + F.length(x.gap) + F.length(x.text)).alias("at"),
-    )
-    start = F.struct(F.lit("").alias("out"), F.lit(False).alias("on"), F.lit(0).alias("at"))
-    end = lambda s: F.concat(s.out, F.when(s.on, F.lit("</i>")).otherwise(F.lit("")), F.substring(text, s.at + 1, F.length(text)))
-    return F.aggregate(F.filter(zipped, lambda x: x.text.isNotNull()), start, step, end)
-
-
-def _on(x: Column) -> Column:
-    return F.coalesce(is_italic(x.c), F.lit(False))
+    no = F.lit(False)
+
+    def tagged(ps: Column, on: Column) -> Column:
+        def piece(p: Column, i: Column) -> Column:
+            before, now = F.coalesce(F.get(on, i - 1), no), F.coalesce(F.get(on, i), no)
+            close, begin = F.when(before & ~now, "</i>").otherwise(""), F.when(~before & now, "<i>").otherwise("")
+            return F.concat(close, p.gap, begin, p.text)
+
+        used = F.aggregate(ps, F.lit(0), lambda s, p: s + F.length(p.gap) + F.length(p.text))
+        end = F.when(F.coalesce(F.get(on, F.size(ps) - 1), no), "</i>").otherwise("")
+        return F.concat(F.array_join(F.transform(ps, piece), ""), end, F.substring(text, used + 1, F.length(text)))
+
+    return let(pieces(text), lambda ps: let(F.transform(cls, lambda c: F.coalesce(is_italic(c), no)), lambda on: tagged(ps, on)))
 
 
 def same_ignoring_space(a: Column, b: Column) -> Column:

@@ -7,7 +7,7 @@ compared with the first one of their run, which is no equivalence relation, and
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.scalars import ticks_to_ms
+from . import raster
 
 LAST_MS = 5000
 
@@ -24,11 +25,13 @@ def is_visible(objects: Column, bitmaps: Column) -> Column:
     return (F.size(objects) > 0) & (F.size(bitmaps) > 0)
 
 
-def picture_key(objects: Column, bitmaps: Column) -> Column:
-    """Equal for sets that match exactly: objects, place, size and run-length bytes of the first object; else null."""
+def picture_key(objects: Column, bitmaps: Column, own: Column) -> Column:
+    """Equal for sets that match exactly: objects, place, size and run-length bytes of the first object; null for a clear
+    set. A first object without a bitmap matches nothing: its key is made of own, which differs from set to set."""
     first = F.get(objects, F.lit(0))
     ods = F.get(F.get(bitmaps, first["object_id"]), F.lit(0))
     key = F.concat_ws(":", F.size(objects), first["x"], first["y"], ods["w"], ods["h"], F.sha2(ods["rle"], 256))
+    key = F.when(ods["rle"].isNull(), F.concat_ws(":", F.lit("alone"), own.cast("string"))).otherwise(key)
     return F.when(is_visible(objects, bitmaps), key)
 
 
@@ -67,38 +70,68 @@ def fold_exact(sets: DataFrame) -> DataFrame:
 
 
 def statistics(sets: DataFrame, runs: DataFrame) -> DataFrame:
-    """Per file and track: visible and clear sets, sets merged into others, and when the last one begins."""
+    """Per file and track: visible and clear sets, sets merged into others as exactly equal and by their pixels (runs:
+    columns exact and pixel, or n of exact runs), and when the last one begins."""
+    exact, pixel = (F.col("exact"), F.col("pixel")) if "exact" in runs.columns else (F.col("n") - 1, F.lit(0))
     s = sets.groupBy("file_id", "track").agg(F.count_if(F.col("key").isNotNull()).alias("visible"), F.count_if(F.col("key").isNull()).alias("clear"), ticks_to_ms(F.max_by("start_pts", "seq")).alias("last_ms"))
-    r = runs.groupBy(F.col("file_id").alias("__f"), F.col("track").alias("__t")).agg(F.count(F.lit(1)).alias("runs"))
+    r = runs.groupBy(F.col("file_id").alias("__f"), F.col("track").alias("__t")).agg(F.sum(exact).alias("e"), F.sum(pixel).alias("p"))
     d = s.join(r, F.col("file_id").eqNullSafe(F.col("__f")) & F.col("track").eqNullSafe(F.col("__t")), "left")
-    return d.select("file_id", "track", "visible", "clear", (F.col("visible") - F.coalesce("runs", F.lit(0))).alias("merged"), "last_ms")
+    count = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    return d.select("file_id", "track", "visible", "clear", count("e").alias("merged_exact"), count("p").alias("merged_pixel"), "last_ms")
 
 
-def fuzzy_match(a: pd.Series, b: pd.Series) -> str:
-    """'exact', 'pixel' or '' for two rows with n_objects, x, y, w, h, rle and alpha (bytes, row-major, w * h)."""
+def picture_alpha(r) -> np.ndarray | None:
+    """The alpha of a row's picture, (h, w): its bytes if it has them, else decoded from rle and palette."""
+    h, w = int(r.h), int(r.w)
+    if getattr(r, "alpha", None) is not None:
+        return np.frombuffer(r.alpha, dtype=np.uint8).reshape(h, w)
+    if getattr(r, "palette", None) is None or r.rle is None:
+        return None
+    return raster.to_bgra(raster.rle_decode(r.rle, w, h), np.asarray(r.palette))[..., 3]
+
+
+def fuzzy_match(a, b, alpha_a: Callable[[], np.ndarray | None], tolerance: int = 16, share: float = 0.005) -> str:
+    """'exact', 'pixel' or '' for two rows with n_objects, x, y, w, h, rle and alpha or palette; pictures are decoded only
+    if all else is near enough."""
     if a.n_objects != b.n_objects or a.n_objects == 0 or (a.x, a.y) != (b.x, b.y) or a.rle is None or b.rle is None:
         return ""
     if (a.w, a.h) == (b.w, b.h) and a.rle == b.rle:
         return "exact"
-    if abs(a.w - b.w) > 2 or abs(a.h - b.h) > 2:
+    w, h = int(min(a.w, b.w)), int(min(a.h, b.h))
+    if abs(a.w - b.w) > 2 or abs(a.h - b.h) > 2 or not w or not h:
         return ""
-    w, h = min(a.w, b.w), min(a.h, b.h)
-    if w == 0 or h == 0 or a.alpha is None or b.alpha is None:
+    u, v = alpha_a(), picture_alpha(b)
+    if u is None or v is None:
         return ""
-    u, v = (np.frombuffer(r.alpha, dtype=np.uint8).reshape(r.h, r.w)[:h, :w].astype(np.int16) for r in (a, b))
-    return "pixel" if (np.abs(u - v) > 16).sum() <= w * h * 0.005 else ""
+    far = np.count_nonzero(np.abs(u[:h, :w].astype(np.int16) - v[:h, :w]) > tolerance)
+    return "pixel" if far <= w * h * share else ""
+
+
+def near_tracks(sets: DataFrame) -> DataFrame:
+    """file_id and track where a set follows one of another key, but the same place and number of objects and nearly the
+    same size (rows with key, n_objects, x, y, w, h): only there can pictures match by their pixels."""
+    w = W.partitionBy("file_id", "track").orderBy("seq")
+    d = sets.select("file_id", "track", "key", "w", "h", F.struct("n_objects", "x", "y").alias("at"), F.lag(F.struct("key", "w", "h", F.struct("n_objects", "x", "y").alias("at"))).over(w).alias("b"))
+    near = (F.col("key") != F.col("b.key")) & (F.col("at") == F.col("b.at")) & (F.abs(F.col("w") - F.col("b.w")) <= 2) & (F.abs(F.col("h") - F.col("b.h")) <= 2)
+    return d.filter(near).select("file_id", "track").distinct()
 
 
 def fold_fuzzy(sets: DataFrame) -> DataFrame:
-    """As fold_exact, for rows (file_id, track, seq, start_pts, end_pts, visible, n_objects, x, y, w, h, rle, alpha);
-    exact and pixel count the absorbed sets. A track is read in order, in batches, within one task; only the first set
-    of the open run is kept."""
-    names = ["file_id", "track", "seq", "start_pts", "end_pts", "visible", "n_objects", "x", "y", "w", "h", "rle", "alpha"]
+    """As fold_exact, for rows (file_id, track, seq, start_pts, end_pts, visible, n_objects, x, y, w, h, rle, and alpha or
+    palette); exact and pixel count the absorbed sets. A track is read in order, in batches, within one task; only the
+    first set of the open run is kept."""
+    names = ["file_id", "track", "seq", "start_pts", "end_pts", "visible", "n_objects", "x", "y", "w", "h", "rle", "alpha" if "alpha" in sets.columns else "palette"]
     d = sets.select(*names).repartition("file_id", "track").sortWithinPartitions("file_id", "track", "seq")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         track, first, idx, kinds = None, None, 0, {"exact": 0, "pixel": 0}
         out: list[tuple] = []
+        seen: list[np.ndarray | None] = []  # the alpha of the first set, once it was asked for
+
+        def decoded() -> np.ndarray | None:
+            if not seen:
+                seen.append(picture_alpha(first))
+            return seen[0]
 
         def close(end_ms: int) -> None:
             nonlocal first
@@ -120,12 +153,13 @@ def fold_fuzzy(sets: DataFrame) -> DataFrame:
                     track, idx = (r.file_id, r.track), 0
                 if r.visible:
                     if first is not None:
-                        kind = fuzzy_match(first, r)
+                        kind = fuzzy_match(first, r, decoded)
                         if kind:
                             kinds[kind] += 1
                             continue
                         close(shown(first) // 90)
                     first, idx, kinds = r, idx + 1, {"exact": 0, "pixel": 0}
+                    seen.clear()
                 elif first is not None:
                     close(int(r.start_pts) // 90)
             if out:

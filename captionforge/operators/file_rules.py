@@ -8,7 +8,7 @@ a third of all rows is neither gathered nor sent to one task.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,10 +38,10 @@ def _back(voted: DataFrame, entries: DataFrame, text: Column) -> DataFrame:
 
 
 def glyph_counts(entries: DataFrame) -> DataFrame:
-    """file_id, glyph and n for every glyph that occurs on lines not read by the fallback model."""
+    """file_id, glyph and n for every glyph that occurs on lines not read by the fallback model, most frequent first."""
     votes = _voted_glyphs(entries)
     each = F.array(*[F.struct(F.lit(x).alias("glyph"), F.col(f"__n{i}").alias("n")) for i, x in enumerate(g.GLYPHS)])
-    return votes.select("file_id", F.inline(each)).filter("n > 0")
+    return votes.select("file_id", F.inline(each)).filter("n > 0").orderBy("file_id", F.desc("n"), "glyph")
 
 
 def _glyph_columns() -> dict[str, Column]:
@@ -166,10 +166,11 @@ RULES: dict[str, Rule] = {
 }
 
 
-def post_process(entries: DataFrame, between: Rule | None = None) -> DataFrame:
+def post_process(entries: DataFrame, between: Rule | None = None, rules: Sequence[Rule] | None = None) -> DataFrame:
     """All rules in order. Each votes over what the one before wrote; `between` may store that (one pass each)."""
-    for i, rule in enumerate(RULES.values()):
+    rules = list(RULES.values()) if rules is None else rules
+    for i, rule in enumerate(rules):
         entries = rule(entries)
-        if between and i < len(RULES) - 2:
+        if between and i < len(rules) - 2:
             entries = between(entries)
     return entries

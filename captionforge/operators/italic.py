@@ -2,53 +2,34 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import tokens as tk
+from ..functions.text_rules import sub
 
-_LETTER = re.compile(r"[^\W_]")
-
-
-def _punct(t: str) -> bool:
-    return bool(t) and t.isascii() and not _LETTER.search(t)
+#: A punctuation token that an italic token, or one just taken in, stands before, and no roman word after.
+TAKEN = r"(?:(?<=I)|(?!\A)\G)P(?!W)"
 
 
-def grow(classes: list[str], toks: list[str]) -> list[str]:
-    """Each italic span takes in the ASCII punctuation on either side, up to what touches a roman word."""
-    cls = list(classes)
-    n = len(toks)
-    italic = lambda i: cls[i].lower() == "i"
-    roman_word = lambda i: 0 <= i < n and not italic(i) and bool(_LETTER.search(toks[i]))
+def kinds(cls: Column, toks: Column) -> Column:
+    """A letter for each token: I italic, W roman with a letter or digit, P other roman of ASCII signs, S any other."""
+    def kind(x: Column) -> Column:
+        plain = F.when(tk.has_letter(x.t), "W").when(tk.is_ascii_punct(x.t), "P").otherwise("S")
+        return F.when(F.coalesce(tk.is_italic(x.c), F.lit(False)), "I").otherwise(plain)
 
-    def spread(i: int, step: int) -> None:
-        while 0 <= i < n and _punct(toks[i]) and not roman_word(i + step):
-            cls[i] = "I"
-            i += step
-
-    i = 0
-    while i < n:
-        if not italic(i):
-            i += 1
-            continue
-        end = i
-        while end + 1 < n and italic(end + 1):
-            end += 1
-        spread(i - 1, -1)
-        spread(end + 1, 1)
-        i = end + 1
-    return cls
+    return F.array_join(F.transform(F.arrays_zip(cls.alias("c"), toks.alias("t")), kind), "")
 
 
 def expand_boundaries(cls: Column, toks: Column) -> Column:
-    """grow() over batches of rows."""
-    def run(classes: pd.Series, texts: pd.Series) -> pd.Series:
-        return pd.Series([None if c is None or t is None else grow(list(c), list(t)) for c, t in zip(classes, texts, strict=True)], dtype=object)
-
-    return F.pandas_udf(run, "array<string>")(cls, toks)
+    """Italic spans take in the ASCII punctuation on either side, but for a token that touches a roman word beyond it.
+
+    A regular expression over the tokens' kinds, in both directions: what is taken forward and what is taken backward
+    don't depend on each other."""
+    forward = sub(kinds(cls, toks), TAKEN, "I")
+    both = F.reverse(sub(F.reverse(forward), TAKEN, "I"))
+    now = lambda k: F.transform(cls, lambda c, i: F.when((F.get(k, i) == "I") & ~F.coalesce(tk.is_italic(c), F.lit(False)), F.lit("I")).otherwise(c))
+    return tk.let(F.split(both, ""), now)
 
 
 def post_process(cls: Column, toks: Column) -> Column:

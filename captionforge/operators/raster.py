@@ -10,6 +10,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -47,27 +48,33 @@ def half_even(x) -> int:
 def rle_decode(data: bytes, width: int, height: int) -> np.ndarray:
     """Palette indices, (height, width). Runs are clipped at the width, lines end only where the data says so, and
     truncated data leaves the rest at index 0."""
-    out = np.zeros((height, width), dtype=np.uint8)
+    colors, runs = [], []
     feed = iter(data)
-    x = y = 0
+    room, left = width, height  # of the line; lines
     try:
-        while y < height:
+        while left:
             color, run = next(feed), 1
             if color == 0:
                 code = next(feed)
                 if code == 0:
-                    x, y = 0, y + 1
+                    colors.append(0)
+                    runs.append(room)
+                    room, left = width, left - 1
                     continue
                 run = code & 0x3F
                 if code & 0x40:
                     run = run << 8 | next(feed)
                 if code & 0x80:
                     color = next(feed)
-            out[y, x : x + run] = color
-            x = min(x + run, width)
+            if run > room:
+                run = room
+            colors.append(color)
+            runs.append(run)
+            room -= run
     except StopIteration:
         pass
-    return out
+    flat = np.repeat(np.array(colors, dtype=np.uint8), np.array(runs, dtype=np.int64))
+    return np.concatenate([flat, np.zeros(width * height - len(flat), dtype=np.uint8)]).reshape(height, width)
 
 
 def rle_encode(indices: np.ndarray) -> bytes:
@@ -175,36 +182,35 @@ def dilate(mask: np.ndarray, r: int) -> np.ndarray:
 
 
 def components(mask: np.ndarray) -> np.ndarray:
-    """Labels (0: background) of the 8-connected components: runs of a row are joined with those of the row above."""
+    """Labels (0: background) of the 8-connected components: the runs of a row are linked to those of the next that they
+    touch, also by a corner, and the least run of each component is found by halving paths."""
     h, w = mask.shape
     padded = np.zeros((h, w + 2), dtype=np.int8)
     padded[:, 1:-1] = mask
     step = np.diff(padded, axis=1)
     ys, starts = np.nonzero(step == 1)
     _, ends = np.nonzero(step == -1)
-    parent = np.arange(len(ys))
-
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    first = np.searchsorted(ys, np.arange(h + 1))
-    for y in range(1, h):
-        i, j = first[y - 1], first[y]
-        while i < first[y] and j < first[y + 1]:
-            if starts[i] <= ends[j] and starts[j] <= ends[i]:  # touch, also by a corner
-                a, b = find(i), find(j)
-                parent[max(a, b)] = min(a, b)
-            if ends[i] < ends[j]:
-                i += 1
-            else:
-                j += 1
-    label = np.zeros((h, w), dtype=np.int32)
-    for n, (y, a, b) in enumerate(zip(ys, starts, ends, strict=True)):
-        label[y, a:b] = find(n) + 1
-    return label
+    line = w + 2
+    lo = np.searchsorted(ys * line + ends, (ys + 1) * line + starts, "left")
+    hi = np.searchsorted(ys * line + starts, (ys + 1) * line + ends, "right")
+    count = np.maximum(hi - lo, 0)
+    a = np.repeat(np.arange(len(ys)), count)
+    b = np.repeat(lo, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    root = np.arange(len(ys))
+    while len(a):
+        least = np.minimum(root[a], root[b])
+        new = root.copy()
+        for end in (a, b, root[a], root[b]):
+            np.minimum.at(new, end, least)
+        new = new[new]
+        if np.array_equal(new, root):
+            break
+        root = new
+    size = ends - starts
+    at = np.repeat(ys * w + starts, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    label = np.zeros(h * w, dtype=np.int32)
+    label[at] = np.repeat(root + 1, size)
+    return label.reshape(h, w)
 
 
 def drop_small(mask: np.ndarray, least_area: int) -> np.ndarray:
@@ -240,20 +246,27 @@ def bucket_height(h: int) -> int:
     return 80 if h < 90 else 96 if h < 140 else 160
 
 
-def _weights(n_in: int, n_out: int) -> np.ndarray:
-    """(n_out, n_in) resampling weights with the Mitchell kernel (B = C = 1/3), widened when shrinking."""
+@lru_cache(maxsize=4096)
+def taps(n_in: int, n_out: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each of n_out places the pixels it is made of and their weights, (n_out, taps): the Mitchell kernel
+    (B = C = 1/3), widened when shrinking."""
     scale = max(1.0, n_in / n_out)
     centre = (np.arange(n_out) + 0.5) * n_in / n_out - 0.5
-    x = np.abs(centre[:, None] - np.arange(n_in)[None, :]) / scale
+    count = min(n_in, int(np.ceil(4 * scale)) + 1)
+    first = np.clip(np.floor(centre - 2 * scale).astype(int), 0, n_in - count)
+    at = first[:, None] + np.arange(count)
+    x = np.abs(centre[:, None] - at) / scale
     inner = (7 * x**3 - 12 * x**2 + 16 / 3) / 6
     outer = (-7 / 3 * x**3 + 12 * x**2 - 20 * x + 32 / 3) / 6
     w = np.where(x < 1, inner, np.where(x < 2, outer, 0.0))
-    return w / w.sum(axis=1, keepdims=True)
+    return at, w / w.sum(axis=1, keepdims=True)
 
 
 def resize(gray: np.ndarray, width: int, height: int) -> np.ndarray:
     h, w = gray.shape
-    out = _weights(h, height) @ gray.astype(float) @ _weights(w, width).T
+    (ys, u), (xs, v) = taps(h, height), taps(w, width)
+    tall = sum(u[:, k, None] * gray[ys[:, k]] for k in range(ys.shape[1]))
+    out = sum(v[:, k] * tall[:, xs[:, k]] for k in range(xs.shape[1]))
     return np.clip(np.rint(out), 0, 255).astype(np.uint8)
 
 
@@ -319,8 +332,9 @@ def split_lines(gray: np.ndarray, min_gap: int = 2, min_height: int = 5, s: Sett
 # --- geometry of a line --------------------------------------------------------------------------------------------
 
 
-def binarize(gray: np.ndarray, threshold: int = 128) -> np.ndarray:
-    return np.where(gray < threshold, 255, 0).astype(np.uint8)
+def ink(gray: np.ndarray) -> np.ndarray:
+    """255 where there is ink, else 0."""
+    return 255 * (gray < 128).astype(np.uint8)
 
 
 def segments(gray: np.ndarray) -> list[tuple[int, int]]:
@@ -335,42 +349,32 @@ def crop_columns(gray: np.ndarray, start: int, end: int) -> np.ndarray | None:
     return gray[:, start:end] if start < end else None
 
 
-def shear_variance(image: np.ndarray, angle: float, pad: int, below: np.ndarray | None = None) -> float:
-    """Variance of the column sums after row y has moved by int(tan(angle) * y) + pad. Rows that move alike are summed
-    at once, from below: the running sums of the rows."""
+def shear_variances(image: np.ndarray, angles: np.ndarray) -> np.ndarray:
+    """For each angle the variance of the column sums after every row has moved by tan(angle) times its number, cut to
+    whole columns. The picture is as wide as the largest move needs, with a column to spare on either side."""
     h, w = image.shape
-    if not h or not w:
-        return 0.0
-    below = running_rows(image) if below is None else below
-    shift = (np.tan(np.radians(angle)) * np.arange(h)).astype(int) + pad
-    edges = np.concatenate([[0], np.nonzero(np.diff(shift))[0] + 1, [h]])
-    profile = np.zeros(w + 2 * pad)
-    for a, b in zip(edges[:-1], edges[1:], strict=True):
-        if 0 <= shift[a] <= 2 * pad:
-            profile[shift[a] : shift[a] + w] += below[b] - below[a]
-    return float(profile.var())
-
-
-def running_rows(image: np.ndarray) -> np.ndarray:
-    return np.concatenate([np.zeros((1, image.shape[1])), np.cumsum(image.astype(float), axis=0)])
-
-
-def italic_angle(image: np.ndarray, most: float = 20.0, steps: int = 81) -> tuple[float, float]:
-    """Best rightward angle and the ratio of its variance to that of no shear (infinite if that is 0)."""
-    pad = int(np.tan(np.radians(most)) * max(image.shape[0] - 1, 0)) + 1
-    angles = np.linspace(-most, most, steps)
-    below = running_rows(image)
-    upright = shear_variance(image, angles[np.argmin(np.abs(angles))], pad, below)
-    right = angles[angles > 0]
-    v = np.array([shear_variance(image, a, pad, below) for a in right])
-    best = int(v.argmax())
-    return float(right[best]), float(v[best]) / upright if upright > 0 else float("inf")
+    moves = np.trunc(np.tan(np.radians(angles))[:, None] * np.arange(h)).astype(int)
+    spare = int(np.abs(moves).max(initial=0)) + 1
+    wide = w + 2 * spare
+    ys, xs = np.nonzero(image)
+    cells = np.arange(len(angles))[:, None] * wide + moves[:, ys] + xs + spare
+    sums = np.bincount(cells.ravel(), weights=np.tile(image[ys, xs].astype(float), len(angles)), minlength=len(angles) * wide)
+    return sums.reshape(len(angles), wide).var(axis=1)
+
+
+def slant(image: np.ndarray, most: float = 20.0, steps: int = 40) -> tuple[float, float]:
+    """The rightward angle at which the columns stand out most, and how much more than without shear (infinite if they
+    don't stand out there at all)."""
+    angles = np.linspace(0.0, most, steps + 1)
+    upright, *spread = shear_variances(image, angles)
+    best = int(np.argmax(spread))
+    return float(angles[best + 1]), float(spread[best] / upright) if upright else float("inf")
 
 
 def classify_italic(gray: np.ndarray, threshold: float = 3.0, least_ratio: float = 1.2) -> tuple[bool, float, float]:
     """(is italic, angle, ratio). A picture without variance has an infinite ratio and isn't italic."""
-    angle, ratio = italic_angle(binarize(gray))
-    return bool(angle > threshold and ratio > least_ratio and np.isfinite(ratio)), angle, ratio
+    angle, ratio = slant(ink(gray))
+    return least_ratio < ratio < float("inf") and angle > threshold, angle, ratio
 
 
 # --- PNG -----------------------------------------------------------------------------------------------------------

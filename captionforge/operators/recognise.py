@@ -1,6 +1,6 @@
 """The recognition cascade around pluggable recognisers.
 
-A recogniser is made once per task from a factory (a picklable callable). Rows that the first model reads well never
+A recogniser is made once per Python process of an executor from a factory (a picklable callable). Rows that the first model reads well never
 reach the fallback: the plan is split by a filter and joined again by a union, since Spark would call a Python function
 for every row of a conditional expression.
 """
@@ -8,28 +8,32 @@ for every row of a conditional expression.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+import atexit
+import hashlib
+from collections.abc import Callable, Iterator, Mapping
 from typing import Protocol
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import tokens as tk
-from ..functions.text_rules import is_blank, mid_process, rtrim
+from ..functions.text_rules import is_blank, rtrim
 from ..plans.config import PipelineConfig
 from . import italic, raster
 from .storage import stored
 
 
 class Recognizer(Protocol):
-    """Failures are (None, 0) or None; only a lost connection may raise."""
+    """Failures are (None, 0) or None, and so is an answer that takes too long (limits are the recogniser's own); only a
+    lost connection may raise."""
 
     def recognize(self, png: bytes) -> tuple[str | None, float]: ...
 
     def fallback(self, png: bytes, prompt: str) -> str | None: ...
 
-    def classify(self, tokens: list[str], png: bytes, reference: str) -> str | None: ...
+    def classify(self, tokens: list[str], png: bytes, reference: str, prompt: str) -> str | None: ...
 
 
 Factory = Callable[[], Recognizer]
@@ -53,7 +57,7 @@ class LookupRecognizer:
     def fallback(self, png: bytes, prompt: str) -> str | None:
         return self.fallbacks.get(self.key(png))
 
-    def classify(self, tokens: list[str], png: bytes, reference: str) -> str | None:
+    def classify(self, tokens: list[str], png: bytes, reference: str, prompt: str) -> str | None:
         return self.answers.get(self.key(png))
 
 
@@ -102,8 +106,9 @@ FALLBACK_RULES: dict[str, Callable[[Column, Column, Column, Column], Column]] =
 }
 
 
-def fallback_reason(text: Column, tag: Column, body: Column, verified: Column) -> Column:
-    return F.coalesce(*[F.when(rule(text, tag, body, verified), F.lit(name)) for name, rule in FALLBACK_RULES.items()])
+def fallback_reason(text: Column, tag: Column, body: Column, verified: Column, rules: Mapping[str, Callable[..., Column]] | None = None) -> Column:
+    rules = FALLBACK_RULES if rules is None else rules
+    return F.coalesce(*[F.when(rule(text, tag, body, verified), F.lit(name)) for name, rule in rules.items()], F.lit(None).cast("string"))
 
 
 def verdict(text: Column, tag: Column, body: Column, tag_italic: Column, body_italic: Column) -> Column:
@@ -121,25 +126,34 @@ def verdict(text: Column, tag: Column, body: Column, tag_italic: Column, body_it
     )
 
 
+_MODELS: dict[str, Recognizer] = {}
+
+
+def _model(name: str, factory: Factory) -> Recognizer:
+    """The process's recogniser of this name; it serves all tasks and operators, and is closed when the process ends."""
+    if name not in _MODELS:
+        _MODELS[name] = factory()
+        if hasattr(_MODELS[name], "close"):
+            atexit.register(_MODELS[name].close)
+    return _MODELS[name]
+
+
 def _mapped(d: DataFrame, factory: Factory, added: str, each: Callable) -> DataFrame:
     """d with the columns of `added` from each(recogniser, row)."""
     names = [x.strip().split(" ")[0] for x in added.split(",")]
     clash = [n for n in names if n in d.columns]
     out = d.drop(*clash)
+    name = hashlib.sha256(cloudpickle.dumps(factory)).hexdigest()
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in out.schema) + ", " + added
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = factory()
-        try:
-            for b in batches:
-                got = [each(model, r) for r in b.itertuples(index=False)]
-                rest = b.drop(columns=clash)
-                for i, n in enumerate(names):
-                    rest[n] = pd.Series([g[i] for g in got], index=b.index, dtype=object)
-                yield rest
-        finally:
-            if hasattr(model, "close"):
-                model.close()
+        model = _model(name, factory)
+        for b in batches:
+            got = [each(model, r) for r in b.itertuples(index=False)]
+            rest = b.drop(columns=clash)
+            for i, n in enumerate(names):
+                rest[n] = pd.Series([g[i] for g in got], index=b.index, dtype=object)
+            yield rest
 
     return d.mapInPandas(run, schema)
 
@@ -188,11 +202,11 @@ def geometry(lines: DataFrame, factory: Factory, italic_threshold: float) -> Dat
     return _mapped(lines, factory, "verified boolean, tag_italic boolean, body_italic boolean", each)
 
 
-def classified(lines: DataFrame, factory: Factory) -> DataFrame:
+def classified(lines: DataFrame, factory: Factory, prompt: str) -> DataFrame:
     """lines (png, text) with answer: what the model says of the tokens; null where no italics are looked for."""
     d = lines.withColumn("toks", tk.tokens(F.col("text"))).withColumn("ref", tk.for_reference(F.col("text")))
     idle = (F.size("toks") == 0) | tk.needs_no_italics(F.col("toks")) | F.col("ref").isNull()
-    asked = _mapped(d.filter(~idle), factory, "answer string", lambda m, r: (m.classify(list(r.toks), bytes(r.png), r.ref),))
+    asked = _mapped(d.filter(~idle), factory, "answer string", lambda m, r: (m.classify(list(r.toks), bytes(r.png), r.ref, prompt),))
     return asked.unionByName(d.filter(idle).withColumn("answer", F.lit(None).cast("string"))).drop("ref")
 
 
@@ -203,16 +217,16 @@ def read_lines(lines: DataFrame, factory: Factory, config: PipelineConfig) -> Da
     first = stored(recognise(lines, factory))
     read = stored(with_fallback(first, lambda d: ask_fallback(d, factory, config.prompt), config.verify_threshold))
     blank = read.filter(F.coalesce(is_blank(F.col("text")), F.lit(True)))
-    d = read.filter(~is_blank(F.col("text"))).withColumn("text", mid_process(F.col("text"), config.language))
+    d = read.filter(~is_blank(F.col("text"))).withColumn("text", config.clean(F.col("text")))
     tag = tk.leading_tag(F.col("text"))
     d = geometry(d.withColumn("tag_len", tag["length"]).withColumn("body_at", tag["body"]), factory, config.italic_threshold)
-    d = stored(d.withColumn("reason", fallback_reason(F.col("text"), F.col("tag_len"), F.col("body_at"), F.col("verified"))))
+    d = stored(d.withColumn("reason", fallback_reason(F.col("text"), F.col("tag_len"), F.col("body_at"), F.col("verified"), config.fallback_rules)))
     plain = d.filter("reason is null").withColumn("text", verdict(F.col("text"), F.col("tag_len"), F.col("body_at"), F.col("tag_italic"), F.col("body_italic")))
 
     odd = d.filter("reason is not null")
     again = ask_fallback(odd.filter("not vlm").withColumn("first", F.col("text")), factory, config.prompt)
-    again = again.withColumn("text", F.when(F.coalesce(is_blank(F.col("text")), F.lit(True)), F.col("first")).otherwise(mid_process(F.col("text"), config.language))).drop("first")
-    odd = classified(stored(again.unionByName(odd.filter("vlm"))), factory)
+    again = again.withColumn("text", F.when(F.coalesce(is_blank(F.col("text")), F.lit(True)), F.col("first")).otherwise(config.clean(F.col("text")))).drop("first")
+    odd = classified(stored(again.unionByName(odd.filter("vlm"))), factory, config.italics_prompt)
     cls = tk.usable_answer(F.col("answer"), F.col("toks"))
     odd = odd.withColumn("cls", cls)
     styled = F.when(F.col("cls").isNull(), F.col("text")).otherwise(tk.styled(F.col("text"), italic.post_process(F.col("cls"), F.col("toks"))))

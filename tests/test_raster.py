@@ -103,17 +103,63 @@ def test_italics():
     assert raster.classify_italic(np.full((9, 9), 255, dtype=np.uint8)) == (False, pytest.approx(0.5), float("inf"))
 
 
-def test_shear_against_rows_one_by_one():
+def test_shear_against_a_plain_loop():
     r = np.random.default_rng(2)
-    a = (r.random((23, 31)) < 0.3).astype(np.uint8) * 255
-    for angle in (-20, -3.5, 0, 7.5, 20):
-        pad = int(np.tan(np.radians(20)) * 22) + 1
-        wide = np.zeros((23, 31 + 2 * pad))
-        for y in range(23):
-            s = int(np.tan(np.radians(angle)) * y) + pad
-            wide[y, s : s + 31] = a[y]
-        assert raster.shear_variance(a, angle, pad) == pytest.approx(wide.sum(axis=0).var())
-
+    angles = np.linspace(0, 20, 9)
+    for _ in range(20):
+        a = raster.ink(r.integers(0, 256, size=r.integers(1, 30, size=2)).astype(np.uint8))
+        h, w = a.shape
+        spare = int(np.tan(np.radians(20)) * (h - 1)) + 1
+        for angle, got in zip(angles, raster.shear_variances(a, angles), strict=True):
+            wide = np.zeros((h, w + 2 * spare))
+            for y in range(h):
+                at = int(np.tan(np.radians(angle)) * y) + spare
+                wide[y, at : at + w] = a[y]
+            assert got == pytest.approx(wide.sum(axis=0).var())
+
+
+def test_both_forms_agree(spark):
+    """The array functions of signals and the numpy of raster, on random rows and pictures."""
+    from pyspark.sql import functions as F
+
+    from captionforge.operators import signals
+
+    r = np.random.default_rng(5)
+    rows = [(i, [int(x) for x in r.choice([r.integers(0, 256, 60), r.integers(90, 110, 60)])]) for i in range(60)]
+    d = spark.createDataFrame(rows, "id int, v array<int>").withColumn("m", F.transform("v", lambda x: x < 100))
+    got = d.select("id", "v", signals.dilate(F.col("m"), 2).alias("dilated"), signals.blur(F.col("v")).alias("blurred"), signals.runs(F.col("m")).alias("runs"), signals.line_regions(F.col("m")).alias("lines"), signals.bounds(F.col("m"), 10).alias("box")).collect()
+    levels = d.select("id", F.explode("v").alias("x"))
+    otsu = {x.id: x.threshold for x in signals.otsu(levels, "id", "x").collect()}
+    for x in got:
+        v = np.array(x.v, dtype=np.uint8)
+        mask = v < 100
+        assert raster.otsu_threshold(v) == otsu[x.id]
+        assert raster.dilate(mask[None, :], 2)[0].tolist() == x.dilated
+        assert raster.gaussian(v[None, :].astype(np.float32), 0.5)[0] == pytest.approx(x.blurred, abs=1e-3)
+        assert raster.segments(np.where(mask, 0, 255).astype(np.uint8)[None, :]) == [(s.start, s.end) for s in x.runs]
+        box = raster.bounding_box(mask.reshape(6, 10))
+        assert box == (None if x.box is None else tuple(x.box))
+        # lines of a picture whose rows have ink where the mask is set; padding and the crop aside
+        picture = np.repeat(np.where(mask, 0, 255).astype(np.uint8)[:, None], 4, axis=1)
+        n = len(v)
+        found = [(max(0, s.start - raster.pad_size(s.end - s.start)), min(n, s.end + raster.pad_size(s.end - s.start))) for s in x.lines]
+        cut = [(a, b) for a, b, _ in raster.split_lines(picture)]
+        assert cut == found or cut == [(0, n)]
+
+
+def test_resize_against_whole_weights():
+    r = np.random.default_rng(3)
+    for h, w, th, tw in ((5, 7, 80, 112), (90, 40, 80, 36), (1, 1, 4, 4), (33, 200, 160, 969)):
+        a = r.integers(0, 256, size=(h, w)).astype(np.uint8)
+
+        def weights(n_in, n_out):
+            scale = max(1.0, n_in / n_out)
+            x = np.abs(((np.arange(n_out) + 0.5) * n_in / n_out - 0.5)[:, None] - np.arange(n_in)) / scale
+            k = np.where(x < 1, (7 * x**3 - 12 * x**2 + 16 / 3) / 6, np.where(x < 2, (-7 / 3 * x**3 + 12 * x**2 - 20 * x + 32 / 3) / 6, 0))
+            return k / k.sum(axis=1, keepdims=True)
+
+        want = np.clip(np.rint(weights(h, th) @ a.astype(float) @ weights(w, tw).T), 0, 255)
+        assert np.abs(raster.resize(a, tw, th) - want).max() <= 1
 
 def test_segments_and_png():
     g = np.full((4, 10), 255, dtype=np.uint8)

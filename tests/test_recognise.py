@@ -52,6 +52,35 @@ def test_result_shapes():
 
 def test_config():
     assert PipelineConfig(language="jpn").code == "ja"
-    for bad in ({"language": "xx"}, {"verify_threshold": 1.5}, {"italic_threshold": 50}, {"track": -2}):
+    assert PipelineConfig(language="xx").prompt == PipelineConfig().prompt
+    for bad in ({"debug": True}, {"verify_threshold": 1.5}, {"italic_threshold": 50}, {"track": -2}):
         with pytest.raises(ValueError):
             PipelineConfig(**bad)
+
+
+def test_one_model_a_process(spark):
+    """Tasks and operators of a process share the recogniser that a factory makes."""
+    def factory():
+        import os
+
+        os.environ["MODELS_MADE"] = str(int(os.environ.get("MODELS_MADE", "0")) + 1)
+
+        class Counting(recognise.LookupRecognizer):
+            def recognize(self, png):
+                return os.environ["MODELS_MADE"], 1.0
+
+        return Counting({})
+
+    d = spark.createDataFrame([("f", i, 0, 1, 0, b"x") for i in range(40)], LINE).repartition(20)
+    assert {r.text for r in recognise.recognise(d, factory).collect()} == {"1"}
+
+
+def test_own_steps_and_rules(spark, tmp_path):
+    """A run's own text steps, file rules and fallback rules, and the pictures between the steps."""
+    from captionforge.plans import pipeline, queries
+
+    config = PipelineConfig(debug=True, debug_dir=str(tmp_path / "debug"), text_steps=(F.upper,), file_rules=(lambda d: d.withColumn("text", F.concat(F.col("text"), F.lit("!"))),), fallback_rules={})
+    sets = queries.stored(queries.picture_sets(spark, "/root/testdata/sf0.001").orderBy("seq").limit(6))
+    got = pipeline.entries(sets, queries.reader, config).collect()
+    assert got and all(r.text.endswith("!") and r.text == r.text.upper() for r in got)
+    assert {r.stage for r in spark.read.parquet(config.debug_dir).select("stage").distinct().collect()} == {"raw", "mask", "final"}

@@ -95,3 +95,23 @@ def test_stream(spark, random_tracks, tmp_path):
     got = sorted((r.file_id, r.start_ms, r.end_ms, r.n) for r in spark.table("folded").collect())
     want = sorted((r.file_id, r.start_ms, r.end_ms, r.n) for r in ds.fold_exact(d).collect())
     assert got == want
+
+
+def test_sets_without_a_bitmap_match_nothing(spark):
+    one, none = [(0, 1, 2)], [[(2, 2, b"a")]]
+    rows = [(1, one, none), (2, one, none), (3, [(2, 1, 2)], none), (4, [(2, 1, 2)], none), (5, [], none), (6, [(5, 1, 2)], none)]
+    d = spark.createDataFrame(rows, "seq long, objects array<struct<object_id:int,x:int,y:int>>, bitmaps array<array<struct<w:int,h:int,rle:binary>>>")
+    k = [r[0] for r in d.select(ds.picture_key(F.col("objects"), F.col("bitmaps"), F.col("seq"))).collect()]
+    assert k[0] == k[1] and k[4] is None and len({k[0], k[2], k[3], k[5]}) == 4
+
+
+def test_job_folds_pictures_that_differ_a_little(spark):
+    """The job's intervals: drawn pictures, by the alpha of their first set, and counts by kind."""
+    from captionforge.plans import pipeline, queries
+
+    sets = queries.drawn_sets(spark, "/root/testdata/sf0.001")
+    runs = pipeline.intervals(sets)
+    got = runs.select(F.sum("exact"), F.sum("pixel"), F.count("*")).first()
+    assert got[0] and got[1] and sum(got) == sets.filter(F.size("objects") > 0).count()
+    s = ds.statistics(sets.withColumn("key", F.when(F.size("objects") > 0, "k")), runs)
+    assert tuple(s.select(F.sum("merged_exact"), F.sum("merged_pixel")).first()) == (got[0], got[1])

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,10 +91,37 @@ def test_styled_text_keeps_the_text(spark):
         assert len(x.e) == len(x.cls) == len(x.p) and all(b == "I" for a, b in zip(x.cls, x.e, strict=True) if a == "I")
 
 
-def test_growing_spans():
-    from captionforge.operators.italic import grow
+def test_growing_spans(spark):
+    """A sign next to an italic token becomes italic unless a roman word follows it on the other side, until nothing changes."""
+    from captionforge.operators import italic
 
-    assert grow(["R", "I", "R"], ['"', "word", '"']) == ["I", "I", "I"]
-    assert grow(["R", "R", "I"], ["no", ",", "yes"]) == ["R", "R", "I"]
-    assert grow(["I", "R", "R"], ["yes", "...", "no"]) == ["I", "R", "R"]
-    assert grow(["R", "R", "R", "I"], ["no", "(", '"', "yes"]) == ["R", "R", "I", "I"]
+    r = random.Random(7)
+    cases = [(["R", "I", "R"], ['"', "word", '"']), (["R", "R", "I"], ["no", ",", "yes"]), (["I", "R", "R"], ["yes", "...", "no"]), (["R", "R", "R", "I"], ["no", "(", '"', "yes"])]
+    for _ in range(1500):
+        toks = r.choices(["a", "b1", ",", ".", "[X]", "♪", "-"], k=r.randint(1, 12))
+        cases.append((r.choices("IRi", k=len(toks)), toks))
+    word = lambda t: any(c.isalnum() for c in t)
+
+    def brute(cls, toks):
+        on = [c.lower() == "i" for c in cls]
+        roman = lambda i: 0 <= i < len(toks) and not on[i] and word(toks[i])
+        while True:
+            new = [i for i, t in enumerate(toks) if not on[i] and t.isascii() and not word(t)
+                   and any(0 <= i - s < len(toks) and on[i - s] and not roman(i + s) for s in (1, -1))]
+            if not new:
+                return ["I" if x and c.lower() != "i" else c for x, c in zip(on, cls, strict=True)]
+            on[new[0]] = True
+
+    d = spark.createDataFrame([(i, c, t) for i, (c, t) in enumerate(cases)], "n int, cls array<string>, toks array<string>")
+    got = {x.n: x.e for x in d.select("n", italic.expand_boundaries(F.col("cls"), F.col("toks")).alias("e")).collect()}
+    assert all(got[i] == brute(c, t) for i, (c, t) in enumerate(cases))
+    assert [got[i] for i in range(4)] == [["I", "I", "I"], ["R", "R", "I"], ["I", "R", "R"], ["R", "R", "I", "I"]]
+
+
+def test_long_lines(spark):
+    """Starts and styled text of a line of many tokens, in less than quadratic time."""
+    words = [f"w{i}" + "," * (i % 3 == 0) for i in range(12_000)]
+    d = spark.createDataFrame([(" ".join(words),)], "text string")
+    r = d.select(tk.with_starts(F.col("text")).alias("s"), tk.styled(F.col("text"), F.transform(tk.tokens(F.col("text")), lambda t, i: F.when(i % 2 == 0, "I").otherwise("R"))).alias("t")).first()
+    text = " ".join(words)
+    assert all(text[x.start : x.start + len(x.text)] == x.text for x in r.s) and r.t.replace("<i>", "").replace("</i>", "") == text
