@@ -33,8 +33,9 @@ TILE, SUB = 16384, 256
 #: Small inputs are cut into so many tiles at least, to be compared in parallel.
 LEAST_TILES = 12
 BLOCKS = 4  # population counts per 64-bit word
-#: Shingle sets of a candidate component that are compared at a time: about so many of each of two pieces.
-PIECE = 1024
+#: Shingle sets of a candidate component that are compared at a time: about so many of each of two pieces at most. Smaller
+#: components are dealt over up to SPREAD pieces of LEAST_PIECE sets or more, so that no task has much more than others.
+PIECE, LEAST_PIECE, SPREAD = 1024, 128, 16
 _ASCII = str.maketrans(UPPER, LOWER)
 
 
@@ -399,10 +400,11 @@ def verified_links(docs: DataFrame, candidates: DataFrame, k: int, radius: int,
     """a, b: names of shingle sets that are linked; candidates: name, row_key (of a row that has the set), fp and root of
     the candidate component.
 
-    A component of n sets is dealt over n / PIECE pieces by the hashes of their names, and every two pieces are compared,
+    A component of n sets is dealt over n / PIECE pieces, or SPREAD smaller ones, by the hashes of their names, and every two pieces are compared,
     so that no task holds more than two pieces, however large a component is."""
     n = checkpointed(candidates.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    held = candidates.join(n, "root").withColumn("pieces", F.ceil(F.col("n") / PIECE).cast("int"))
+    pieces = F.greatest(F.ceil(F.col("n") / PIECE), F.least(F.lit(SPREAD), F.ceil(F.col("n") / LEAST_PIECE)))
+    held = candidates.join(n, "root").withColumn("pieces", pieces.cast("int"))
     held = checkpointed(held.select("name", "row_key", "fp", "root", "pieces", F.pmod(F.xxhash64("name"), F.col("pieces")).cast("int").alias("piece")))
     texts = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("rk"), "text").join(held.select(F.col("row_key").alias("rk")), "rk", "left_semi").dropDuplicates(["rk"])
     asked = texts.join(held, F.col("rk") == F.col("row_key")).select("name", "fp", "root", "pieces", "piece", "text")
