@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, checkpointed, read, words, written
+from .common import ascii_lower, checkpointed, dropped, read, words, written
 
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW, SLACK = 10, 5
@@ -78,8 +78,8 @@ def postings(index: DataFrame, keep: list[str], terms: list[str], reach: int) ->
     return index.select(*keep, F.inline(F.transform(F.filter("lists", lambda p: p.term.isin(terms)), place)))
 
 
-def matches(docs: DataFrame, items: DataFrame, size: int = WINDOW, slack: int = SLACK) -> tuple[DataFrame, DataFrame]:
-    """The matches, and docs' columns but t with n_words for every row.
+def matches(docs: DataFrame, items: DataFrame, size: int = WINDOW, slack: int = SLACK) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """The matches, docs' columns but t with n_words for every row, and the stored indexes that these are read from.
 
     A match: docs' columns but t, item_id, at, n (words of the window), start (where it occurs word for word; null if it
     doesn't there) and near (do its terms all stand within n + slack words around the rarest one?). Each occurrence of the
@@ -87,10 +87,12 @@ def matches(docs: DataFrame, items: DataFrame, size: int = WINDOW, slack: int =
     keep = [c for c in docs.columns if c != "t"]
     kind = dict(items.dtypes)["item_id"]
     out = every = None
+    stored = []
     wins = windows(items, size).distinct()  # an item may be listed twice
     for part in blocks(wins):
         vocabulary = [r[0] for r in part.select(F.explode("terms").alias("term")).distinct().collect()]  # within BLOCK_TOKENS
         index = build(docs, vocabulary)
+        stored.append(index)
         every = index.select(*keep, "n_words") if every is None else every
         asked = ordered(part, frequencies(index)).collect()  # as many windows as a block has at most
         if not asked:
@@ -113,19 +115,28 @@ def matches(docs: DataFrame, items: DataFrame, size: int = WINDOW, slack: int =
         every = docs.select(*keep, F.size("t").cast("long").alias("n_words"))
     if out is None:
         out = every.select(*keep, F.lit(None).cast(kind).alias("item_id"), *[F.lit(0).alias(c) for c in ("at", "n", "start")], F.lit(False).alias("near")).limit(0)
-    return out, every
+    return out, every, stored
 
 
 def occurrences(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
     """Exact phrase matches: docs' columns but t, with item_id, at, start and n for every occurrence of a window."""
-    found, _ = matches(docs, items, size, 0)
+    found, _, _ = matches(docs, items, size, 0)
     return found.filter("start is not null").drop("near")
 
 
+def contaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
+    """docs' columns but t of the rows in which a window occurs, each once, as a checkpoint; the indexes are deleted."""
+    found, _, stored = matches(docs, items, size, 0)
+    hits = checkpointed(found.filter("start is not null").select(*[c for c in docs.columns if c != "t"]).distinct())
+    for index in stored:
+        dropped(index)
+    return hits
+
+
 def proximity(docs: DataFrame, items: DataFrame, size: int = WINDOW, slack: int = SLACK) -> DataFrame:
     """Proximity matches: docs' columns but t, item_id and at of the windows all of whose terms stand within n + slack
     words, once for each occurrence of the rarest one around which they do."""
-    found, _ = matches(docs, items, size, slack)
+    found, _, _ = matches(docs, items, size, slack)
     return found.filter("near").drop("near", "start", "n")
 
 
@@ -146,13 +157,15 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, slack:
     itself; items that share an id count as one, those without an id only by their hits; other columns are ignored;
     either table may be empty."""
     keyed = docs.select("doc_id", F.xxhash64(F.col("text")).alias("k"), tokens(F.col("text")).alias("t"))
-    found, every = matches(keyed, items, size, slack)
+    found, every, stored = matches(keyed, items, size, slack)
     ids = lambda c: F.array_sort(F.collect_set(F.when(c, F.col("item_id").cast("string"))))
     hits = found.groupBy("doc_id", "k").agg(
         F.collect_set(F.when(F.col("start").isNotNull(), F.struct(F.col("start"), F.col("n")))).alias("spans"),
         ids(F.col("start").isNotNull()).alias("items"), ids(F.col("near")).alias("near"),
     )
     hits = checkpointed(hits.select(F.col("doc_id").alias("h_id"), F.col("k").alias("h_k"), covered(F.col("spans")).alias("hit"), "items", "near"))
+    for index in stored[1:]:  # the first has the numbers of words
+        dropped(index)
     if hits.count() <= BROADCAST_ROWS:
         hits = F.broadcast(hits)
     both = every.join(hits, F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("k") == F.col("h_k")), "left")
