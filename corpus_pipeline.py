@@ -53,8 +53,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """Documents in which a window of a benchmark item occurs go. Null and empty texts stay; rows that share an id are judged
     each by its own text, repeated rows alike; an empty benchmark takes nothing away."""
     keyed = docs.select("doc_id", F.xxhash64("text").alias("k"), decontam.tokens(F.col("text")).alias("t"))
-    hits = decontam.occurrences(keyed, read(spark, sf_dir, "benchmark"))
-    hits = checkpointed(hits.select(F.col("doc_id").alias("__id"), F.col("k").alias("__k")).distinct())
+    hits = decontam.contaminated(keyed, read(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__id"), F.col("k").alias("__k"))
     if hits.count() <= BROADCAST_ROWS:
         hits = F.broadcast(hits)
     return docs.join(hits, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__k")), "left_anti")
