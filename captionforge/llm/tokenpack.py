@@ -1,7 +1,7 @@
 """Operator 8: token ids as fixed-stride binary shards in training order.
 
 1. Every document is encoded with a public tokenizer (a path, never part of the package) and followed by an end token.
-   The ids are written as a table in the shared folder, each with its place in the tokens of its input partition.
+   The ids are written as a packed table in the shared folder, each with its place in the tokens of its input partition.
 2. The documents form one stream of tokens, cut every `length` tokens: sequence k holds the tokens k * length to
    (k + 1) * length - 1. Where a partition begins in the stream is the sum of the partitions before it.
 3. A keyed Feistel permutation with cycle-walking gives every sequence a slot of the training order.
@@ -33,9 +33,10 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r" ?\p{L}++|'(?:[sdmt]|ll|ve|re)| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 END = 50256
 LENGTH, PER_SHARD, KEY = 1024, 1024, "order-1"
-#: Bytes of ids that a task cuts at a time.
-CHUNK = 1 << 24
-ZSTD = 6
+#: Tokens that a task cuts at a time.
+CHUNK = 1 << 23
+#: Of zstd; from so many tokens on they are stored by their ranks.
+LEVEL, RANKED = 3, 1 << 13
 
 
 @lru_cache(maxsize=4)
@@ -95,21 +96,52 @@ def feistel(x: np.ndarray, n: int, key: str, rounds: int = 6, inverse: bool = Fa
 # --- the stream ----------------------------------------------------------------------------------------------------
 
 
+def pack(ids: np.ndarray) -> bytes:
+    """uint16 tokens, compressed: the number of different ones, these by falling frequency, and the low and the high bytes
+    of the tokens' ranks among them. Few tokens, for which the list doesn't pay, stand for themselves behind a 0."""
+    codec = pa.Codec("zstd", LEVEL)
+    if len(ids) < RANKED:
+        return bytes(4) + codec.compress(ids.tobytes(), asbytes=True)
+    count = np.bincount(ids, minlength=1 << 16)
+    known = np.flatnonzero(count)
+    known = known[np.argsort(-count[known], kind="stable")].astype("<u2")
+    rank = np.zeros(1 << 16, dtype="<u2")
+    rank[known] = np.arange(len(known))
+    planes = rank[ids].view(np.uint8).reshape(-1, 2).T
+    return len(known).to_bytes(4, "little") + codec.compress(known.tobytes() + planes.tobytes(), asbytes=True)
+
+
+def unpack(body: bytes, n: int) -> np.ndarray:
+    """The n tokens of pack()."""
+    k = int.from_bytes(body[:4], "little")
+    x = pa.Codec("zstd").decompress(body[4:], 2 * (k + n), asbytes=True)
+    if not k:
+        return np.frombuffer(x, dtype="<u2")
+    planes = np.frombuffer(x, dtype=np.uint8, offset=2 * k).reshape(2, n)
+    return np.frombuffer(x, dtype="<u2", count=k)[np.ascontiguousarray(planes.T).view("<u2")[:, 0]]
+
+
 def encoded(docs: DataFrame, path: str = TOKENIZER, end: int = END) -> DataFrame:
-    """doc_id, part (the input partition), at (tokens of the partition before this row), ids (uint16 tokens with the end
-    token) and n for each row of docs (doc_id, text)."""
+    """Rows of docs (doc_id, text), some at a time: part (the input partition), at (tokens of the partition before them),
+    doc_ids, sizes (tokens of each with the end token), n (tokens of all) and ids (these tokens, packed)."""
     last = np.array([end], dtype="<u2").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at = TaskContext.get().partitionId(), 0
         for b in slices(batches):
             ids = [encode(t, path) + last for t in b.column("text").to_pylist()]
-            n = np.array([len(x) // 2 for x in ids], dtype=np.int64)
-            cols = [b.column("doc_id"), pa.array(np.full(len(n), part, np.int32)), pa.array(at + np.cumsum(n) - n), pa.array(ids, pa.binary()), pa.array(n)]
-            at += int(n.sum())
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "part", "at", "ids", "n"])
+            sizes = pa.array([len(x) // 2 for x in ids], pa.int64())
+            whole = np.frombuffer(b"".join(ids), dtype="<u2")
+            ends = pa.array([0, len(ids)], pa.int32())
+            who = b.column("doc_id").cast(pa.int64())
+            cols = [
+                pa.array([part], pa.int32()), pa.array([at], pa.int64()), pa.ListArray.from_arrays(ends, who), pa.ListArray.from_arrays(ends, sizes),
+                pa.array([len(whole)], pa.int64()), pa.array([pack(whole)], pa.binary()),
+            ]
+            at += len(whole)
+            yield pa.RecordBatch.from_arrays(cols, names=["part", "at", "doc_ids", "sizes", "n", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, part int, at long, ids binary, n long")
+    return docs.select("doc_id", "text").mapInArrow(run, "part int, at long, doc_ids array<long>, sizes array<long>, n long, ids binary")
 
 
 def _pieces(at: np.ndarray, n: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -135,19 +167,19 @@ def write_shards(docs: DataFrame, folder: str, path: str = TOKENIZER, length: in
     A shard is one task's work and has a fixed size; it is written to a temporary name and moved, so a repeated task
     leaves a whole file. The ids' table is deleted when all shards stand."""
     spark = docs.sparkSession
-    t = written(encoded(docs, path, end), compression="zstd", **{"parquet.compression.codec.zstd.level": ZSTD})
+    t = written(encoded(docs, path, end), compression="uncompressed")  # the ids are packed
     sums = written(t.groupBy("part").agg(F.sum("n").alias("n")))  # one row per input partition
     total = sums.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     n = -(-total // length)
     base = sums.select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    placed = t.join(F.broadcast(base), "part").select("doc_id", (F.col("base") + F.col("at")).alias("at"), "ids", "n")
+    placed = t.join(F.broadcast(base), "part").select((F.col("base") + F.col("at")).alias("at"), "doc_ids", "sizes", "n", "ids")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for b in batches:
-            for piece in slices([b]):
-                held.append(piece)
-                size += piece.column("ids").nbytes
+            for row in slices([b], 1):
+                held.append(row)
+                size += row.column("n")[0].as_py()
                 if size > CHUNK:
                     yield grouped(held)
                     held, size = [], 0
@@ -155,13 +187,17 @@ def write_shards(docs: DataFrame, folder: str, path: str = TOKENIZER, length: in
             yield grouped(held)
 
     def grouped(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        """One row per shard that the documents have tokens for: the head and the tokens of each piece, compressed."""
+        """One row per shard that the documents have tokens for: the heads of the pieces and their tokens, both packed."""
         b = pa.Table.from_batches(held).combine_chunks()
-        at, sizes = b.column("at").to_numpy(), b.column("n").to_numpy()
-        ids = b.column("doc_id")
-        null, who = ids.is_null().to_numpy(), ids.fill_null(0).to_numpy()
-        tokens = np.frombuffer(b"".join(b.column("ids").to_pylist()), dtype="<u2")
+        rows, totals = b.column("at").to_numpy(), b.column("n").to_numpy()
+        ids = pa.concat_arrays([x.flatten() for x in b.column("doc_ids").chunks])
+        sizes = pa.concat_arrays([x.flatten() for x in b.column("sizes").chunks]).to_numpy()
+        null, who = ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy()
+        tokens = np.concatenate([unpack(x, m) for x, m in zip(b.column("ids").to_pylist(), totals.tolist(), strict=True)])
         begins = np.cumsum(sizes) - sizes
+        # a row's documents follow each other in the stream
+        docs_of = np.array([len(x) for x in b.column("sizes").to_pylist()])
+        at = begins + np.repeat(rows - (np.cumsum(totals) - totals), docs_of)
         doc, lo, hi = _pieces(at, sizes, length)
         slot = feistel(lo // length, n, key)
         head = np.zeros(len(doc), dtype=_HEAD)
@@ -170,18 +206,20 @@ def write_shards(docs: DataFrame, folder: str, path: str = TOKENIZER, length: in
         shard = slot // per_shard
         order = np.argsort(shard, kind="stable")
         edges = np.flatnonzero(np.diff(shard[order], prepend=-1, append=-1)) if len(order) else []
-        shards, raw, body = [], [], []
-        codec = pa.Codec("zstd", ZSTD)
+        cols: list[list] = [[], [], [], []]
+        codec = pa.Codec("zstd", LEVEL)
         for x, y in zip(edges[:-1], edges[1:], strict=True):
             rows = order[x:y]
-            whole = len(rows).to_bytes(8, "little") + head[rows].tobytes() + b"".join(tokens[start[i] : start[i] + head["n"][i]].tobytes() for i in rows)
-            shards.append(int(shard[rows[0]])), raw.append(len(whole)), body.append(codec.compress(whole, asbytes=True))
-        return pa.RecordBatch.from_arrays([pa.array(shards, pa.int64()), pa.array(raw, pa.int64()), pa.array(body, pa.binary())], names=["shard", "raw", "body"])
+            body = np.concatenate([tokens[start[i] : start[i] + head["n"][i]] for i in rows])
+            for c, v in zip(cols, (int(shard[rows[0]]), len(rows), codec.compress(head[rows].tobytes(), asbytes=True), pack(body)), strict=True):
+                c.append(v)
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["shard", "pieces", "head", "body"])
 
     # the slots are 0..n-1, so even ranges of shards are known without a sample
     shards = -(-n // per_shard)
     parts = max(1, min(shards, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    dealt = placed.mapInArrow(cut, "shard long, raw long, body binary")
+    dealt = placed.mapInArrow(cut, "shard long, pieces long, head binary, body binary")
     dealt = dealt.repartitionById(parts, F.floor(F.col("shard") * parts / max(1, shards)).cast("int")).sortWithinPartitions("shard")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,25 +227,23 @@ def write_shards(docs: DataFrame, folder: str, path: str = TOKENIZER, length: in
         where.create_dir(at, recursive=True)
         open_, held = None, []
         for b in batches:
-            for shard, raw, body in zip(*(b.column(c).to_pylist() for c in ("shard", "raw", "body")), strict=True):
+            for shard, *row in zip(*(b.column(c).to_pylist() for c in ("shard", "pieces", "head", "body")), strict=True):
                 if shard != open_ and held:
                     yield close(where, at, open_, held)
                     held = []
                 open_ = shard
-                held.append((raw, body))
+                held.append(tuple(row))
         if held:
             yield close(where, at, open_, held)
 
-    def close(where, at: str, shard: int, held: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    def close(where, at: str, shard: int, held: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
         records = min(per_shard, n - shard * per_shard)
         whole = np.full(records * length, end, dtype="<u2")
         heads, codec = [], pa.Codec("zstd")
         while held:
-            raw, body = held.pop()
-            x = codec.decompress(body, raw, asbytes=True)
-            count = int.from_bytes(x[:8], "little")
-            h = np.frombuffer(x, dtype=_HEAD, count=count, offset=8)
-            tokens = np.frombuffer(x, dtype="<u2", offset=8 + count * _HEAD.itemsize)
+            count, head, body = held.pop()
+            h = np.frombuffer(codec.decompress(head, count * _HEAD.itemsize, asbytes=True), dtype=_HEAD)
+            tokens = unpack(body, int(h["n"].sum(dtype=np.int64)))
             to = (h["slot"] - shard * per_shard) * length + h["place"]
             ends = np.cumsum(h["n"].astype(np.int64))
             for a, m, e in zip(to.tolist(), h["n"].tolist(), ends.tolist(), strict=True):

@@ -111,6 +111,13 @@ def test_encoding_in_parts():
         assert np.frombuffer(tokenpack.encode(t), "<u2").tolist() == e.encode_ordinary(t)
 
 
+@pytest.mark.parametrize("n", [0, 1, tokenpack.RANKED - 1, tokenpack.RANKED, 100_000])
+@pytest.mark.parametrize("most", [1, 300, 1 << 16])
+def test_packed_tokens_come_back(n, most):
+    a = np.random.default_rng(n).integers(0, most, n).astype("<u2")
+    assert (tokenpack.unpack(tokenpack.pack(a), n) == a).all()
+
+
 def test_shards(spark, sf, tmp_path):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     folder = f"file://{tmp_path}/shards"
