@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,6 +88,36 @@ def slices(batches, rows: int = 256):
             yield b.slice(at, rows)
 
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, TypeError, OSError):  # other C libraries have none
+    _trim = None
+
+
+def give_back() -> None:
+    """Returns memory to the system that nothing uses any more."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, for mapInArrow and mapInPandas, with memory given back after each batch. Spark keeps Python workers for later
+    tasks, and Arrow's pool keeps what the largest batch took: unless returned, an executor holds that once per worker."""
+
+    def whole(batches: Iterator) -> Iterator:
+        def each() -> Iterator:
+            for b in batches:
+                yield b
+                del b
+                give_back()
+
+        yield from run(each())
+        give_back()
+
+    return whole
+
+
 def hash_bucket(hex_key: Column, buckets: int) -> Column:
     """Bucket 0..buckets-1 that grows with a hexadecimal key (its first 8 digits decide)."""
     first = F.conv(F.substring(hex_key, 1, 8), 16, 10).cast("long")

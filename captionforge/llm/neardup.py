@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import LOWER, UPPER, WORD, checkpointed, dropped, read, slices, written
+from .common import LOWER, UPPER, WORD, checkpointed, dropped, lean, read, slices, written
 
 TILE, SUB = 16384, 256
 #: Small inputs are cut into so many tiles at least, to be compared in parallel.
@@ -118,7 +118,7 @@ def sketches(docs: DataFrame, k: int, words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps, pa.string()), pa.array(keys, pa.string()), b.column("row_key")], names=["doc_id", "fp", "key", "row_key"])
 
     keyed = docs.select("doc_id", "text", row_key(F.col("doc_id"), F.col("text")).alias("row_key"))
-    return keyed.mapInArrow(run, "doc_id long, fp string, key string, row_key string")
+    return keyed.mapInArrow(lean(run), "doc_id long, fp string, key string, row_key string")
 
 
 def fingerprints(docs: DataFrame, k: int, words: int = 1) -> DataFrame:
@@ -129,7 +129,7 @@ def fingerprints(docs: DataFrame, k: int, words: int = 1) -> DataFrame:
             fps = ["".join(f"{w:016x}" for w in fingerprint(t, k, words)) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps, pa.string())], names=["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp string")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, fp string")
 
 
 def pack(fps: list[str], words: int) -> np.ndarray:
@@ -256,7 +256,7 @@ def tiles(fps: DataFrame, radius: int, words: int) -> DataFrame:
                 compare(a, a, radius, root, True)
                 yield pd.DataFrame({"tile": [tile], "lo": [c.min(axis=0).tolist()], "hi": [c.max(axis=0).tolist()], "blob": [a.tobytes()], "tree": [flat(root).astype("<i4").tobytes()]})
 
-    return lists.repartition(parts, "tile").mapInPandas(cut, "tile long, lo array<int>, hi array<int>, blob binary, tree binary")
+    return lists.repartition(parts, "tile").mapInPandas(lean(cut), "tile long, lo array<int>, hi array<int>, blob binary, tree binary")
 
 
 def _hex(a: np.ndarray) -> list[str]:
@@ -272,7 +272,7 @@ def members(t: DataFrame, words: int) -> DataFrame:
                 names = np.array(_hex(np.frombuffer(x, dtype="<u8").reshape(-1, words)), dtype=object)
                 yield pd.DataFrame({"fp": names, "tree": names[np.frombuffer(tree, dtype="<i4")]})
 
-    return t.select("blob", "tree").mapInPandas(run, "fp string, tree string")
+    return t.select("blob", "tree").mapInPandas(lean(run), "fp string, tree string")
 
 
 def links(t: DataFrame, radius: int, words: int = 1) -> DataFrame:
@@ -310,7 +310,7 @@ def links(t: DataFrame, radius: int, words: int = 1) -> DataFrame:
                     i, j = np.array(found).T
                     yield pd.DataFrame({"a": _hex(u[ta[i]]), "b": _hex(v[tb[j]])})
 
-    return both.select("blob_a", "blob_b", "tree_a", "tree_b").mapInPandas(run, "a string, b string")
+    return both.select("blob_a", "blob_b", "tree_a", "tree_b").mapInPandas(lean(run), "a string, b string")
 
 
 def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
@@ -414,7 +414,7 @@ def verified_links(docs: DataFrame, candidates: DataFrame, k: int, radius: int,
             sets = [np.sort(shingle_set(t, k)[1]).tobytes() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(sets, pa.binary())], names=["name", "fp", "root", "pieces", "piece", "held"])
 
-    sets = asked.mapInArrow(hashed, "name string, fp string, root string, pieces int, piece int, held binary")
+    sets = asked.mapInArrow(lean(hashed), "name string, fp string, root string, pieces int, piece int, held binary")
     other = F.when(F.col("pieces") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("pieces") - 1), F.col("piece")))
     units = sets.withColumn("other", F.explode(other)).select("root", F.least("piece", "other").alias("p"), F.greatest("piece", "other").alias("q"), "name", "fp", "held")
     # the rows of a unit, about two pieces at most, follow each other
@@ -441,7 +441,7 @@ def verified_links(docs: DataFrame, candidates: DataFrame, k: int, radius: int,
         if len(unit) > 1:
             yield found(unit)
 
-    return units.mapInArrow(run, "a string, b string")
+    return units.mapInArrow(lean(run), "a string, b string")
 
 
 def _verified(docs: DataFrame, fp: DataFrame, k: int, radius: int, words: int, similarity: float) -> DataFrame:

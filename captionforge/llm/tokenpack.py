@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import dropped, read as table, shared_folder, slices, store, written
+from .common import dropped, lean, read as table, shared_folder, slices, store, written
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pre-tokenizer pattern that belongs to the vocabulary, in a form that never goes back over a run.
@@ -141,7 +141,7 @@ def encoded(docs: DataFrame, path: str = TOKENIZER, end: int = END) -> DataFrame
             at += len(whole)
             yield pa.RecordBatch.from_arrays(cols, names=["part", "at", "doc_ids", "sizes", "n", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "part int, at long, doc_ids array<long>, sizes array<long>, n long, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "part int, at long, doc_ids array<long>, sizes array<long>, n long, ids binary")
 
 
 def _pieces(at: np.ndarray, n: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -219,7 +219,7 @@ def write_shards(docs: DataFrame, folder: str, path: str = TOKENIZER, length: in
     # the slots are 0..n-1, so even ranges of shards are known without a sample
     shards = -(-n // per_shard)
     parts = max(1, min(shards, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    dealt = placed.mapInArrow(cut, "shard long, pieces long, head binary, body binary")
+    dealt = placed.mapInArrow(lean(cut), "shard long, pieces long, head binary, body binary")
     dealt = dealt.repartitionById(parts, F.floor(F.col("shard") * parts / max(1, shards)).cast("int")).sortWithinPartitions("shard")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,7 +265,7 @@ def write_shards(docs: DataFrame, folder: str, path: str = TOKENIZER, length: in
             [pa.array([shard]), pa.array([name]), pa.array([records], pa.int64()), pa.array([n], pa.int64()), pa.array([hashlib.sha256(whole).hexdigest()])],
             names=["shard", "path", "records", "sequences", "sha256"])
 
-    done = written(dealt.mapInArrow(write, "shard long, path string, records long, sequences long, sha256 string"))
+    done = written(dealt.mapInArrow(lean(write), "shard long, path string, records long, sequences long, sha256 string"))
     dropped(t), dropped(sums)
     return done
 
@@ -319,7 +319,7 @@ def records(shards: DataFrame, folder: str, length: int = LENGTH, per_shard: int
 
     # a row is a shard's work
     dealt = shards.repartition(max(1, int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "shard")
-    return dealt.mapInArrow(run, "slot long, shard long, at_byte long, sequence long, n_tokens int, doc_ids array<long>, tokens binary")
+    return dealt.mapInArrow(lean(run), "slot long, shard long, at_byte long, sequence long, n_tokens int, doc_ids array<long>, tokens binary")
 
 
 def sequences(docs: DataFrame, folder: str | None = None, path: str = TOKENIZER, length: int = LENGTH, per_shard: int = PER_SHARD, key: str = KEY, end: int = END) -> DataFrame:

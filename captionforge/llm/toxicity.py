@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, slices
+from .common import lean, read, slices
 
 ORDER, MIDDLE, LOW = 7, 4, 2
 DISCOUNT = 0.75
@@ -101,7 +101,7 @@ def word_counts(labelled: DataFrame) -> DataFrame:
         words = list(seen[0].keys() | seen[1].keys())
         return pd.DataFrame({"word": words, "n0": [seen[0][w] for w in words], "n1": [seen[1][w] for w in words]})
 
-    rows = labelled.select("text", "toxic").mapInPandas(run, "word string, n0 long, n1 long")
+    rows = labelled.select("text", "toxic").mapInPandas(lean(run), "word string, n0 long, n1 long")
     return rows.groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
@@ -119,7 +119,7 @@ def counts(labelled: DataFrame) -> DataFrame:
             n = pd.DataFrame({"g7": d["g7"], "n0": np.repeat(b["n0"].to_numpy(), lengths), "n1": np.repeat(b["n1"].to_numpy(), lengths)}).groupby("g7").sum()
             yield first.join(n).reset_index()[["g7", "c7", "g4", "c4", "g2", "c2", "n0", "n1"]]
 
-    rows = word_counts(labelled).mapInPandas(run, "g7 long, c7 long, g4 long, c4 long, g2 long, c2 long, n0 long, n1 long")
+    rows = word_counts(labelled).mapInPandas(lean(run), "g7 long, c7 long, g4 long, c4 long, g2 long, c2 long, n0 long, n1 long")
     return rows.groupBy("g7").agg(*[F.min(c).alias(c) for c in ("c7", "g4", "c4", "g2", "c2")], F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
@@ -280,7 +280,7 @@ def train(docs: DataFrame, labels: DataFrame, calibration: int = CALIBRATION) ->
         for b in batches:
             yield pd.DataFrame({"x": [shared.value.features(t, cache) for t in b["text"]], "y": b["toxic"].astype("int32")})
 
-    got = picked.mapInPandas(run, "x array<double>, y int").toPandas()
+    got = picked.mapInPandas(lean(run), "x array<double>, y int").toPandas()
     if len(got) and got["y"].nunique() == 2:
         # repeated rows may arrive in any order; a fixed one gives the same sums
         x = np.array(got["x"].tolist())
@@ -305,7 +305,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             s = pa.array(np.round(m.score(x), 6))
             yield pa.RecordBatch.from_arrays([*b.columns, s], names=[*names, "toxic_score"])
 
-    out = docs.mapInArrow(run, docs.select("*", F.lit(0.0).alias("toxic_score")).schema)
+    out = docs.mapInArrow(lean(run), docs.select("*", F.lit(0.0).alias("toxic_score")).schema)
     return out.withColumn("toxic_predicted", (F.col("toxic_score") >= THRESHOLD).cast("int"))
 
 
