@@ -17,19 +17,15 @@ TIGHT = {0: "♪L♪", 2: "<i>♪L♪</i>", 3: "♪<i>L</i>♪"}
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """file_id, doc_id, line_no, raw, pattern and text. In files whose number 5 divides, even lines have ♫ for ♪."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    d = d.select("doc_id", F.col("source").alias("file_id"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "raw"))
-    no = F.regexp_extract("file_id", "[0-9]+", 0).cast("int")
+    digits = F.regexp_extract("source", "[0-9]+", 0).alias("digits")
+    d = d.select("doc_id", F.col("source").alias("file_id"), digits, F.posexplode(F.split("text", "\n", -1)).alias("line_no", "raw"))
+    no = F.col("digits").cast("int")
     pattern = F.pmod(F.col("doc_id") * 31 + F.col("line_no"), F.lit(16)).cast("int")
-    odd = F.pmod(no, F.lit(2)) == 1
-
-    def made(form: str):
-        before, after = form.split("L")
-        return F.concat(F.lit(before), F.col("raw"), F.lit(after))
-
-    text = None
-    for i, form in enumerate(PATTERNS):
-        one = F.when(odd, made(TIGHT[i])).otherwise(made(form)) if i in TIGHT else made(form)
-        text = F.when(pattern == i, one) if text is None else text.when(pattern == i, one)
+    # looked up, not chosen by cases: a generated method that is too long for the JVM to compile stays interpreted
+    parts = [form.split("L") for form in (*PATTERNS, *[TIGHT.get(i, form) for i, form in enumerate(PATTERNS)])]
+    at = pattern + F.when(F.pmod(no, F.lit(2)) == 1, len(PATTERNS)).otherwise(0)
+    before, after = (F.get(F.array(*[F.lit(x[side]) for x in parts]), at) for side in (0, 1))
+    text = F.concat(before, F.col("raw"), after)
     swap = (F.pmod(no, F.lit(5)) == 0) & (F.pmod(F.col("line_no"), F.lit(2)) == 0)
     text = F.when(swap, F.translate(text, "♪", "♫")).otherwise(text)
     return d.select("file_id", "doc_id", F.col("line_no").cast("long").alias("line_no"), "raw", pattern.alias("pattern"), text.alias("text"))
