@@ -6,7 +6,9 @@ digit, LD a letter or digit.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,6 +18,9 @@ SYM = r"[^\x00-\x7F\p{L}\p{Nd}]"
 LD = r"[\p{L}\p{Nd}]"
 WORD_CHAR = r"[\p{L}\p{Mn}\p{Nd}\p{Pc}]"
 
+#: All characters that WS matches.
+SPACES = "\t\n\x0b\f\r \x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
 Step = Callable[[Column], Column]
 
 
@@ -23,13 +28,23 @@ def sub(c: Column, pattern: str, replacement: str) -> Column:
     return F.regexp_replace(c, F.lit(pattern), F.lit(replacement))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value evaluated once, also where body uses it within other lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def where(c: Column, signs: Sequence[str], body: Callable[[Column], Column]) -> Column:
+    """body(c) for texts with one of the signs, which are looked for as bytes; others stay as they are."""
+    return let(c, lambda t: F.when(reduce(or_, [F.contains(t, F.lit(x)) for x in signs]), body(t)).otherwise(t))
+
+
 def trim(c: Column) -> Column:
     """Removes white space of any kind at both ends."""
-    return sub(c, rf"\A{WS}+|{WS}+\z", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def rtrim(c: Column) -> Column:
-    return sub(c, rf"{WS}+\z", "")
+    return F.rtrim(c, F.lit(SPACES))
 
 
 def is_blank(c: Column) -> Column:
@@ -42,10 +57,13 @@ def strip_italic_tags(c: Column) -> Column:
 
 def normalize_apostrophes(c: Column) -> Column:
     """Curly to straight; then `don ' t`, `they ' ve` and `comin ' for` lose their gaps."""
-    c = F.translate(c, "‘’", "''")
-    c = sub(c, rf"({WORD_CHAR}) ' (s|t|m|d)(?!{WORD_CHAR})", "$1'$2")
-    c = sub(c, rf"({WORD_CHAR}) ' (ll|ve|re)(?!{WORD_CHAR})", "$1'$2")
-    return sub(c, rf"(?d)({WORD_CHAR}) '(?={WS}|[,;:!?.]|$)", "$1'")
+    def closed(c: Column) -> Column:
+        c = sub(c, rf"({WORD_CHAR}) ' (s|t|m|d)(?!{WORD_CHAR})", "$1'$2")
+        c = sub(c, rf"({WORD_CHAR}) ' (ll|ve|re)(?!{WORD_CHAR})", "$1'$2")
+        return sub(c, rf"(?d)({WORD_CHAR}) '(?={WS}|[,;:!?.]|$)", "$1'")
+
+    straight = F.replace(F.replace(c, F.lit("‘"), F.lit("'")), F.lit("’"), F.lit("'"))
+    return where(straight, [" '"], closed)
 
 
 def fix_missing_word_breaks(c: Column) -> Column:
@@ -54,27 +72,30 @@ def fix_missing_word_breaks(c: Column) -> Column:
 
 def normalize_spacing(c: Column) -> Column:
     """A space around bracketed terms and symbols, but none between a dash and what it introduces."""
-    c = sub(c, rf"(?<=\]|{SYM})(?=[^ ])", " ")
-    return trim(sub(c, rf"(?<=[^ \-])(?=\[|{SYM})", " "))
+    c = sub(c, rf"([\]{SYM}])(?=[^ ])", "$1 ")
+    return trim(sub(c, rf"(?<=[^ \-])([\[{SYM}])", " $1"))
 
 
 def normalize_unicode_ellipsis(c: Column) -> Column:
-    return sub(c, rf"{WS}*…{WS}*", "...")
+    return where(c, ["…"], lambda t: sub(t, rf"{WS}*…{WS}*", "..."))
 
 
 def fix_dot_spacing(c: Column) -> Column:
-    return sub(c, rf"(?<![.\p{{Nd}}])\.(?!{WS}|[.]|\z)|(?<=\p{{Nd}})\.(?!{WS}|[\p{{Nd}}.]|\z)", ". ")
+    return sub(c, rf"\.(?:(?<![.\p{{Nd}}]\.)(?!{WS}|[.]|\z)|(?<=\p{{Nd}}\.)(?!{WS}|[\p{{Nd}}.]|\z))", ". ")
 
 
 def collapse_space_after_leading_ellipsis(c: Column) -> Column:
-    return sub(c, r"(?:\A|(?<=\] ))\.\.\. +", "...")
+    return where(c, ["... "], lambda t: sub(t, r"(?:\A|(?<=\] ))\.\.\. +", "..."))
 
 
 def fix_quote_spacing(c: Column) -> Column:
-    c = sub(c, rf'(?d){WS}+(["”]){WS}*$', "$1")
-    c = sub(c, rf'\A{WS}*(["“]){WS}+', "$1")
-    c = sub(c, rf"{WS}+(”)", "$1")
-    return sub(c, rf"(“){WS}+", "$1")
+    def closed(c: Column) -> Column:
+        c = sub(c, rf'(?d){WS}+(["”]){WS}*$', "$1")
+        c = sub(c, rf'\A{WS}*(["“]){WS}+', "$1")
+        c = sub(c, rf"{WS}+(”)", "$1")
+        return sub(c, rf"(“){WS}+", "$1")
+
+    return where(c, ['"', "“", "”"], closed)
 
 
 #: T1 to T8 in the order in which English runs them.

@@ -29,3 +29,22 @@ def test_file_rules_do_not_shuffle_the_entries(spark, sf):
     entries = stored(corpus.entries(corpus.lines(spark, sf)))
     p = plan(file_rules.post_process(entries, between=stored))
     assert "hashpartitioning" not in p and p.count("Scan ExistingRDD") <= 5
+
+
+#: The rules as single expressions, which look at every place of a text.
+PLAIN = {
+    "t2": lambda c: tr.sub(tr.sub(tr.sub(F.translate(c, "‘’", "''"), rf"({tr.WORD_CHAR}) ' (s|t|m|d)(?!{tr.WORD_CHAR})", "$1'$2"), rf"({tr.WORD_CHAR}) ' (ll|ve|re)(?!{tr.WORD_CHAR})", "$1'$2"), rf"(?d)({tr.WORD_CHAR}) '(?={tr.WS}|[,;:!?.]|$)", "$1'"),
+    "t4": lambda c: tr.sub(tr.sub(tr.sub(c, rf"(?<=\]|{tr.SYM})(?=[^ ])", " "), rf"(?<=[^ \-])(?=\[|{tr.SYM})", " "), rf"\A{tr.WS}+|{tr.WS}+\z", ""),
+    "t5": lambda c: tr.sub(c, rf"{tr.WS}*…{tr.WS}*", "..."),
+    "t6": lambda c: tr.sub(c, rf"(?<![.\p{{Nd}}])\.(?!{tr.WS}|[.]|\z)|(?<=\p{{Nd}})\.(?!{tr.WS}|[\p{{Nd}}.]|\z)", ". "),
+    "t7": lambda c: tr.sub(c, r"(?:\A|(?<=\] ))\.\.\. +", "..."),
+    "t8": lambda c: tr.sub(tr.sub(tr.sub(tr.sub(c, rf'(?d){tr.WS}+(["”]){tr.WS}*$', "$1"), rf'\A{tr.WS}*(["“]){tr.WS}+', "$1"), rf"{tr.WS}+(”)", "$1"), rf"(“){tr.WS}+", "$1"),
+}
+
+
+def test_rules_equal_their_plain_forms(spark):
+    d = spark.createDataFrame([(x,) for x in texts(4000)], "t string").cache()
+    for name, plain in PLAIN.items():
+        assert d.filter(~tr.STEPS[name](F.col("t")).eqNullSafe(plain(F.col("t")))).isEmpty(), name
+    # texts without a sign that a rule looks for go past its expressions
+    assert all("contains(" in plan(d.select(tr.STEPS[n](F.col("t")))).lower() for n in ("t2", "t5", "t7", "t8"))
