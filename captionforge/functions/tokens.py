@@ -8,13 +8,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text_rules import LD, SYM, WS, is_blank, sub
+from .text_rules import LD, SPACES, SYM, WS, is_blank, let, sub
 
 # The ranges of characters that are tokens by themselves.
 CJK = r"[぀-ヿ一-鿿㐀-䶿豈-﫿＀-￯]"
-PUNCT = r"[\x00-\x7F&&[^\p{L}\p{Nd}\s]]"
+PUNCT = r"\x00-\x08\x0E-\x1F!-/:-@\\-`{-~\x7F"  # of ASCII, but for [
+_WORD = r"[A-Za-z0-9\p{L}\p{Nd}]"
+# Most tokens begin as the first form says; none gives back what it took.
 TOKEN = (
-    rf"\[[^\]]*\]|(?!{WS}){SYM}{SYM}*|{CJK}|{PUNCT}(?:(?!\[){PUNCT})*|{LD}(?:{LD}|'(?={LD}))*"
+    rf"[A-Za-z0-9]{_WORD}*+(?:'{_WORD}++)*+|\[[^\]]*\]|[^\x00-\x7F\p{{L}}\p{{Nd}}\p{{Z}}\x{{85}}]{SYM}*+|{CJK}"
+    rf"|[{PUNCT}\[][{PUNCT}]*+|{_WORD}++(?:'{_WORD}++)*+"
 )
 # Fixed value: a leading speaker tag.
 LEADING_TAG = (
@@ -30,44 +33,38 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value) with value evaluated once, also where body uses it within other lambdas."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def pieces(text: Column) -> Column:
-    """array<struct<gap, text>>: tokens with the white space before each."""
-    def parted(p: Column) -> Column:
-        first = F.substring(p, 1, 1)
-        token = F.when((first > " ") & (first < "\x7f"), p).otherwise(sub(p, rf"\A{WS}+", ""))
-        return let(token, lambda t: F.struct(F.substring(p, F.lit(1), F.length(p) - F.length(t)).alias("gap"), t.alias("text")))
-
-    return F.transform(F.regexp_extract_all(text, F.lit(rf"({WS}*)({TOKEN})"), F.lit(0)), parted)
-
-
 def running(sizes: Column) -> Column:
-    """For each element the sum of those before it. In blocks of the root of their number, so that what is copied grows
-    as the power 1.5."""
+    """For each element the sum of those before it. In blocks of the root of their number, so that what is added grows
+    as the power 1.5; no array is made for a sum."""
+    def total(v: Column) -> Column:
+        return F.aggregate(v, F.lit(0), lambda s, x: s + x)
+
     def of(v: Column, width: Column) -> Column:
         blocks = F.transform(F.when(F.size(v) > 0, F.sequence(F.lit(0), F.size(v) - 1, width)).otherwise(F.array().cast("array<int>")), lambda i: F.slice(v, i + 1, width))
-        sums = lambda b, first: F.aggregate(b, F.array(first), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + x)))
 
         def each(bs: Column) -> Column:
-            totals = F.transform(bs, lambda b: F.aggregate(b, F.lit(0), lambda s, x: s + x))
-            return let(sums(totals, F.lit(0)), lambda early: F.flatten(F.transform(bs, lambda b, i: F.slice(sums(b, F.get(early, i)), F.lit(1), F.size(b)))))
+            block = lambda b, early: F.transform(b, lambda x, i: early + total(F.slice(b, F.lit(1), i)))
+            return let(F.transform(bs, total), lambda totals: F.flatten(F.transform(bs, lambda b, i: let(total(F.slice(totals, F.lit(1), i)), lambda early: block(b, early)))))
 
         return let(blocks, each)
 
     return let(sizes, lambda v: let(F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(v))).cast("int")), lambda width: of(v, width)))
 
 
+def spans(text: Column) -> Column:
+    """array<string>: tokens, each with the white space before it."""
+    return F.regexp_extract_all(text, F.lit(rf"{WS}*+(?:{TOKEN})"), F.lit(0))
+
+
 def with_starts(text: Column) -> Column:
     """array<struct<text, start>>: tokens with the positions at which they begin (code points, from 0)."""
     def placed(ps: Column) -> Column:
-        at = running(F.transform(ps, lambda p: F.length(p.gap) + F.length(p.text)))
-        return let(at, lambda a: F.transform(ps, lambda p, i: F.struct(p.text.alias("text"), (F.get(a, i) + F.length(p.gap)).alias("start"))))
+        def token(p: Column, before: Column) -> Column:
+            return let(F.ltrim(p, F.lit(SPACES)), lambda t: F.struct(t.alias("text"), (before + F.length(p) - F.length(t)).alias("start")))
+
+        return F.zip_with(ps, running(F.transform(ps, F.length)), token)
 
-    return let(pieces(text), placed)
+    return let(spans(text), placed)
 
 
 def is_bracketed(t: Column) -> Column:
@@ -79,7 +76,7 @@ def has_letter(t: Column) -> Column:
 
 
 def is_ascii_punct(t: Column) -> Column:
-    return t.rlike(r"\A[\x00-\x7F]+\z") & ~t.rlike(LD)
+    return t.rlike(r"\A[\x00-/:-@\[-`{-\x7F]+\z")
 
 
 def needs_no_italics(toks: Column) -> Column:
@@ -149,14 +146,14 @@ def styled(text: Column, cls: Column) -> Column:
     def tagged(ps: Column, on: Column) -> Column:
         def piece(p: Column, i: Column) -> Column:
             before, now = F.coalesce(F.get(on, i - 1), no), F.coalesce(F.get(on, i), no)
-            close, begin = F.when(before & ~now, "</i>").otherwise(""), F.when(~before & now, "<i>").otherwise("")
-            return F.concat(close, p.gap, begin, p.text)
+            parted = lambda tag: let(F.ltrim(p, F.lit(SPACES)), lambda t: F.concat(F.substring(p, F.lit(1), F.length(p) - F.length(t)), F.lit(tag), t))
+            return F.when(before == now, p).when(now, parted("<i>")).otherwise(F.concat(F.lit("</i>"), p))
 
-        used = F.aggregate(ps, F.lit(0), lambda s, p: s + F.length(p.gap) + F.length(p.text))
+        used = F.length(F.array_join(ps, ""))
         end = F.when(F.coalesce(F.get(on, F.size(ps) - 1), no), "</i>").otherwise("")
         return F.concat(F.array_join(F.transform(ps, piece), ""), end, F.substring(text, used + 1, F.length(text)))
 
-    return let(pieces(text), lambda ps: let(F.transform(cls, lambda c: F.coalesce(is_italic(c), no)), lambda on: tagged(ps, on)))
+    return let(spans(text), lambda ps: let(F.transform(cls, lambda c: F.coalesce(is_italic(c), no)), lambda on: tagged(ps, on)))
 
 
 def same_ignoring_space(a: Column, b: Column) -> Column:

@@ -97,7 +97,8 @@ def _classes(toks: Column) -> Column:
 
 
 def _classed(spark, d) -> DataFrame:
-    x = corpus.lines(spark, d).withColumn("toks", tk.tokens(F.col("text")))
+    """Lines with tokens. The filter stops at the first token, as tokens that it counts would be taken twice."""
+    x = corpus.lines(spark, d).filter(F.col("text").rlike(tk.TOKEN)).withColumn("toks", tk.tokens(F.col("text")))
     return x.withColumn("cls", _classes(F.col("toks")))
 
 
@@ -112,14 +113,14 @@ def token_starts(spark, d):
   AND lag(c) OVER w = 'I' AND lead(c) OVER w = 'I' THEN 'I' ELSE c END AS x FROM cls WINDOW w AS (PARTITION BY doc_id, line_no ORDER BY n))
 SELECT doc_id, line_no, string_agg(x, '' ORDER BY n) AS cls FROM b GROUP BY doc_id, line_no""")
 def bridged(spark, d):
-    x = _classed(spark, d).filter(F.size("toks") > 0)
+    x = _classed(spark, d)
     return x.select("doc_id", "line_no", F.array_join(tk.bridge_punctuation(F.col("cls"), F.col("toks")), "").alias("cls"))
 
 
 @query("q_promote", f"""{TOKENS}, b AS (SELECT *, count(*) FILTER (WHERE letter AND NOT br AND c = 'R') OVER w AS roman, count(*) FILTER (WHERE letter AND NOT br) OVER w AS words FROM cls WINDOW w AS (PARTITION BY doc_id, line_no))
 SELECT doc_id, line_no, string_agg(CASE WHEN roman = 1 AND words >= 2 AND NOT br THEN 'I' ELSE c END, '' ORDER BY n) AS cls FROM b GROUP BY doc_id, line_no""")
 def promoted(spark, d):
-    x = _classed(spark, d).filter(F.size("toks") > 0)
+    x = _classed(spark, d)
     return x.select("doc_id", "line_no", F.array_join(tk.promote_nearly_all(F.col("cls"), F.col("toks")), "").alias("cls"))
 
 
@@ -128,7 +129,7 @@ s AS (SELECT doc_id, line_no, any_value(text) AS text, string_agg((CASE WHEN c =
   arg_max(c, n) AS last, sum(length(gap) + length(t)) AS used FROM b GROUP BY doc_id, line_no)
 SELECT doc_id, line_no, body || (CASE WHEN last = 'I' THEN '</i>' ELSE '' END) || substr(text, CAST(used AS BIGINT) + 1) AS text FROM s""")
 def styled(spark, d):
-    x = _classed(spark, d).filter(F.size("toks") > 0)
+    x = _classed(spark, d)
     return x.select("doc_id", "line_no", tk.styled(F.col("text"), F.col("cls")).alias("text"))
 
 
@@ -140,13 +141,13 @@ x AS (SELECT s.doc_id, s.line_no, s.n, CASE WHEN s.kind = 'P' AND (l.kind = 'I'
   FROM s LEFT JOIN k l ON l.doc_id = s.doc_id AND l.line_no = s.line_no AND l.n = s.before LEFT JOIN k r ON r.doc_id = s.doc_id AND r.line_no = s.line_no AND r.n = s.after)
 SELECT doc_id, line_no, string_agg(c, '' ORDER BY n) AS cls FROM x GROUP BY doc_id, line_no""")
 def expanded(spark, d):
-    x = _classed(spark, d).filter(F.size("toks") > 0)
+    x = _classed(spark, d)
     return x.select("doc_id", "line_no", F.array_join(italic.expand_boundaries(F.col("cls"), F.col("toks")), "").alias("cls"))
 
 
 @query("q_italic_skip", f"{TOKENS} SELECT doc_id, line_no, bool_and(NOT letter OR br) AS skip FROM cls GROUP BY doc_id, line_no")
 def skipped(spark, d):
-    x = _classed(spark, d).filter(F.size("toks") > 0)
+    x = _classed(spark, d)
     return x.select("doc_id", "line_no", tk.needs_no_italics(F.col("toks")).alias("skip"))
 
 
@@ -221,7 +222,7 @@ for _name, _sql in (("f1", f1), ("f2", f2), ("f3", f3), ("f4", f4), ("f5", f5)):
 
 @query("q_post_all", f"{ENTRIES}, {chain('ent')} SELECT file_id, idx, text FROM f5_out")
 def post_all(spark, d):
-    """Each rule votes over what the one before wrote, which is stored."""
+    """Each rule votes over what the one before wrote; the entries and the votes are stored."""
     return file_rules.post_process(stored(_entries(spark, d)), between=stored).select("file_id", "idx", "text")
 
 
