@@ -54,3 +54,9 @@ def test_rules_equal_their_plain_forms(spark):
 def test_tokens_are_not_taken_by_a_filter(spark, sf, name):
     filters = [x for x in plan(q.QUERIES[name](spark, sf)).splitlines() if re.search(r"\bFilter\b", x)]
     assert filters and not any("regexp_extract_all" in x for x in filters)
+
+
+def test_starts_make_no_arrays_for_sums(spark):
+    d = spark.createDataFrame([(x,) for x in texts(500)], "t string").select("t", tk.with_starts(F.col("t")).alias("s"))
+    assert "aggregate(" in plan(d) and not re.search(r"aggregate\([^()]*\([^()]*\), array\(", plan(d))
+    assert all(x.t[y.start : y.start + len(y.text)] == y.text for x in d.filter("t is not null").collect() for y in x.s)
