@@ -50,7 +50,7 @@ def test_rules_equal_their_plain_forms(spark):
     assert all("contains(" in plan(d.select(tr.STEPS[n](F.col("t")))).lower() for n in ("t2", "t5", "t7", "t8"))
 
 
-@pytest.mark.parametrize("name", ["q_styled_text", "q_expand_italics", "q_bridge_punct"])
+@pytest.mark.parametrize("name", ["q_styled_text", "q_expand_italics", "q_bridge_punct", "q_promote"])
 def test_tokens_are_not_taken_by_a_filter(spark, sf, name):
     filters = [x for x in plan(q.QUERIES[name](spark, sf)).splitlines() if re.search(r"\bFilter\b", x)]
     assert filters and not any("regexp_extract_all" in x for x in filters)
