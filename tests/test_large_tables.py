@@ -60,3 +60,8 @@ def test_starts_make_no_arrays_for_sums(spark):
     d = spark.createDataFrame([(x,) for x in texts(500)], "t string").select("t", tk.with_starts(F.col("t")).alias("s"))
     assert "aggregate(" in plan(d) and not re.search(r"aggregate\([^()]*\([^()]*\), array\(", plan(d))
     assert all(x.t[y.start : y.start + len(y.text)] == y.text for x in d.filter("t is not null").collect() for y in x.s)
+
+
+def test_generated_methods_are_short_enough_to_be_compiled(spark, sf):
+    code = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$").codegenString(q.QUERIES["q_tokens"](spark, sf)._jdf.queryExecution().executedPlan())
+    assert max(map(int, re.findall(r"maxMethodCodeSize:\s*(\d+)", code))) < 8000
