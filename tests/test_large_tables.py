@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from captionforge.functions import text_rules as tr
 from captionforge.functions import tokens as tk
-from captionforge.operators import file_rules, raster
+from captionforge.operators import file_rules
 from captionforge.operators.storage import stored
 from captionforge.plans import corpus
 from captionforge.plans import queries as q
