@@ -10,13 +10,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.scalars import ticks_to_ms
 from . import raster
+from .batches import arrow_schema, batch, pieces, records
 
 LAST_MS = 5000
 
@@ -123,7 +124,10 @@ def fold_fuzzy(sets: DataFrame) -> DataFrame:
     names = ["file_id", "track", "seq", "start_pts", "end_pts", "visible", "n_objects", "x", "y", "w", "h", "rle", "alpha" if "alpha" in sets.columns else "palette"]
     d = sets.select(*names).repartition("file_id", "track").sortWithinPartitions("file_id", "track", "seq")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    runs = "file_id string, track long, idx long, seq long, start_ms long, end_ms long, exact long, pixel long"
+    schema = arrow_schema(runs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         track, first, idx, kinds = None, None, 0, {"exact": 0, "pixel": 0}
         out: list[tuple] = []
         seen: list[np.ndarray | None] = []  # the alpha of the first set, once it was asked for
@@ -145,9 +149,8 @@ def fold_fuzzy(sets: DataFrame) -> DataFrame:
             if first is not None:
                 close(shown(first) // 90 if shown(first) > 0 else int(first.start_pts) // 90 + LAST_MS)
 
-        columns = ["file_id", "track", "idx", "seq", "start_ms", "end_ms", "exact", "pixel"]
-        for b in batches:
-            for r in b.itertuples(index=False):
+        for b in pieces(batches):
+            for r in records(b):
                 if track != (r.file_id, r.track):
                     finish()
                     track, idx = (r.file_id, r.track), 0
@@ -163,10 +166,10 @@ def fold_fuzzy(sets: DataFrame) -> DataFrame:
                 elif first is not None:
                     close(int(r.start_pts) // 90)
             if out:
-                yield pd.DataFrame(out, columns=columns)
+                yield batch(out, schema)
                 out = []
         finish()
         if out:
-            yield pd.DataFrame(out, columns=columns)
+            yield batch(out, schema)
 
-    return d.mapInPandas(run, "file_id string, track long, idx long, seq long, start_ms long, end_ms long, exact long, pixel long")
+    return d.mapInArrow(run, runs)

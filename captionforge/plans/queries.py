@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,6 +16,7 @@ from ..functions import scalars, text_rules
 from ..functions import tokens as tk
 from ..operators import display_sets as ds
 from ..operators import file_rules, italic, raster, recognise, signals, srt
+from ..operators.batches import ROWS, give_back
 from ..operators.storage import stored
 from ..sources import tracks
 from . import corpus
@@ -491,8 +492,7 @@ def rle(spark, d):
 
 def picture_sets(spark: SparkSession, d: str) -> DataFrame:
     """Display sets drawn from embeddings: 64 columns of ink of various heights in one or two lines."""
-    @F.pandas_udf("binary")
-    def draw(v: pd.Series, two: pd.Series) -> pd.Series:
+    def drawn(v: pd.Series, two: pd.Series) -> pd.Series:
         out = []
         for levels, t in zip(v, two, strict=True):
             a = np.zeros((60 if t else 30, 200), dtype=np.uint8)
@@ -503,6 +503,14 @@ def picture_sets(spark: SparkSession, d: str) -> DataFrame:
             out.append(raster.rle_encode(a))
         return pd.Series(out)
 
+    @F.pandas_udf("binary")
+    def draw(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for v, two in batches:
+            for at in range(0, len(v), ROWS):
+                yield drawn(v[at : at + ROWS], two[at : at + ROWS])
+            del v, two
+            give_back()
+
     e = _signal(spark, d).withColumn("two", F.pmod("vec_id", F.lit(2)) == 0)
     bitmap = F.struct(F.lit(200).alias("w"), F.when(F.col("two"), 60).otherwise(30).alias("h"), draw("v", "two").alias("rle"))
     objects = F.array(F.struct(F.lit(0).alias("object_id"), F.lit(10).alias("x"), F.lit(20).alias("y")))

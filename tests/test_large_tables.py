@@ -65,3 +65,18 @@ def test_starts_make_no_arrays_for_sums(spark):
 def test_generated_methods_are_short_enough_to_be_compiled(spark, sf):
     code = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$").codegenString(q.QUERIES["q_tokens"](spark, sf)._jdf.queryExecution().executedPlan())
     assert max(map(int, re.findall(r"maxMethodCodeSize:\s*(\d+)", code))) < 8000
+
+
+def test_pictures_are_taken_in_pieces(spark, sf):
+    import pyarrow as pa
+
+    from captionforge.operators import batches, display_sets, raster
+    from captionforge.plans import pipeline
+
+    b = pa.RecordBatch.from_pydict({"a": list(range(1000)), "b": [{"x": None}] * 1000})
+    found = list(batches.pieces([b]))
+    assert max(p.num_rows for p in found) <= batches.ROWS and [r.a for p in found for r in batches.records(p)] == list(range(1000))
+    shown = pipeline.intervals(q.picture_sets(spark, sf))
+    for d in (raster.line_images(shown), raster.debug_images(shown), display_sets.fold_fuzzy(q.drawn_sets(spark, sf).selectExpr("file_id", "track", "seq", "start_pts", "end_pts", "true visible", "1 n_objects", "0 x", "0 y", "20 w", "20 h", "bitmaps[0][0].rle rle", "palette"))):
+        assert "MapInArrow" in plan(d) and "MapInPandas" not in plan(d)
+    assert raster.taps.cache_info().maxsize <= 256
