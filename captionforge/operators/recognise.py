@@ -13,7 +13,7 @@ import hashlib
 from collections.abc import Callable, Iterator, Mapping
 from typing import Protocol
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +22,7 @@ from ..functions import tokens as tk
 from ..functions.text_rules import is_blank, rtrim
 from ..plans.config import PipelineConfig
 from . import italic, raster
+from .batches import arrow_schema, pieces, records
 from .storage import stored
 
 
@@ -140,22 +141,21 @@ def _model(name: str, factory: Factory) -> Recognizer:
 
 def _mapped(d: DataFrame, factory: Factory, added: str, each: Callable) -> DataFrame:
     """d with the columns of `added` from each(recogniser, row)."""
-    names = [x.strip().split(" ")[0] for x in added.split(",")]
-    clash = [n for n in names if n in d.columns]
+    fields = list(arrow_schema(added))
+    clash = [f.name for f in fields if f.name in d.columns]
     out = d.drop(*clash)
     name = hashlib.sha256(cloudpickle.dumps(factory)).hexdigest()
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in out.schema) + ", " + added
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(name, factory)
-        for b in batches:
-            got = [each(model, r) for r in b.itertuples(index=False)]
-            rest = b.drop(columns=clash)
-            for i, n in enumerate(names):
-                rest[n] = pd.Series([g[i] for g in got], index=b.index, dtype=object)
-            yield rest
-
-    return d.mapInPandas(run, schema)
+        for b in pieces(batches):
+            got = [each(model, r) for r in records(b)]
+            rest = [n for n in b.schema.names if n not in clash]
+            new = [pa.array([g[i] for g in got], f.type) for i, f in enumerate(fields)]
+            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in rest], *new], names=[*rest, *[f.name for f in fields]])
+
+    return d.mapInArrow(run, schema)
 
 
 def recognise(lines: DataFrame, factory: Factory) -> DataFrame:

@@ -80,3 +80,17 @@ def test_pictures_are_taken_in_pieces(spark, sf):
     for d in (raster.line_images(shown), raster.debug_images(shown), display_sets.fold_fuzzy(q.drawn_sets(spark, sf).selectExpr("file_id", "track", "seq", "start_pts", "end_pts", "true visible", "1 n_objects", "0 x", "0 y", "20 w", "20 h", "bitmaps[0][0].rle rle", "palette"))):
         assert "MapInArrow" in plan(d) and "MapInPandas" not in plan(d)
     assert raster.taps.cache_info().maxsize <= 256
+
+
+def test_models_are_asked_in_pieces_and_other_columns_stay(spark):
+    from captionforge.operators import recognise
+
+    class Model(recognise.LookupRecognizer):
+        def recognize(self, png):
+            return (None, 0) if png == b"3" else (png.decode(), 0.5)
+
+    d = spark.range(0, 300, 1, 1).selectExpr("id", "timestamp_seconds(id) at", "if(id = 5, null, array(id)) l", "cast(cast(id as string) as binary) png", "'old' text")
+    read = recognise.recognise(d, lambda: Model({}))
+    assert "MapInArrow" in plan(read) and read.columns == ["id", "at", "l", "png", "text", "score"]
+    assert read.drop("text", "score").exceptAll(d.drop("text")).isEmpty()
+    assert [r.text for r in read.orderBy("id").collect()] == [None if i == 3 else str(i) for i in range(300)]
