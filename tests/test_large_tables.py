@@ -94,3 +94,13 @@ def test_models_are_asked_in_pieces_and_other_columns_stay(spark):
     assert "MapInArrow" in plan(read) and read.columns == ["id", "at", "l", "png", "text", "score"]
     assert read.drop("text", "score").exceptAll(d.drop("text")).isEmpty()
     assert [r.text for r in read.orderBy("id").collect()] == [None if i == 3 else str(i) for i in range(300)]
+
+
+def test_starts_slice_no_array_for_each_token(spark):
+    d = spark.createDataFrame([("a bc  d " * 1500,), ("é 漢😀 x" * 40,), ("",), (None,)], "t string").select("t", tk.with_starts(F.col("t")).alias("s"))
+    assert "substring_index(" in plan(d)
+    got = d.collect()
+    assert len(got[0].s) == 4500
+    assert all(x.t[y.start : y.start + len(y.text)] == y.text for x in got if x.s for y in x.s)
+    assert all([y.start for y in x.s] == sorted({y.start for y in x.s}) for x in got if x.s)
+    assert got[2].s == [] and got[3].s is None
