@@ -22,7 +22,8 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -38,6 +39,10 @@ CALIBRATION = 20_000
 THRESHOLD = 0.3
 MOST_CACHED = 150_000
 FLUSH = 150_000
+#: Texts are taken together until they have this many different words (each text's counted), so that arrays are long and few.
+GATHERED = 16_384
+#: So many words at most are cut into n-grams at a time.
+PIECE = 4_096
 #: Labelled ids up to this number are broadcast; more are joined by a shuffle of the documents.
 BROADCAST_ROWS = 500_000
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -58,24 +63,24 @@ def _grams(words: list[str]) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndar
     """Hashes of the n-grams and contexts at every character to be predicted; its word; the words' lengths.
 
     A word is preceded by one mark and followed by another; contexts stop at the first."""
-    text = "".join(f"\x02{w}\x03" for w in words)
-    a = np.frombuffer(text.encode("utf-32-le", "replace"), dtype="<u4").astype(np.uint64)
-    at = np.arange(len(a))
-    first = np.maximum.accumulate(np.where(a == 2, at, 0))
-    pos = at - first
+    text = "\x02" + "\x03\x02".join(words) + "\x03" if words else ""
+    a = np.frombuffer(text.encode("utf-32-le", "replace"), dtype="<u4")
+    marks = np.flatnonzero(a == 2)
+    lengths = np.diff(marks, append=len(a)) - 1
+    pos = np.arange(len(a)) - np.repeat(marks, lengths + 1)
+    before = np.concatenate([np.zeros(ORDER - 1, dtype=np.uint64), a.astype(np.uint64)])
     h = np.zeros(len(a), dtype=np.uint64)
     by = {}
     with np.errstate(over="ignore"):
         for k in range(ORDER):
-            char = a if k == 0 else np.concatenate([np.zeros(k, dtype=np.uint64), a[:-k]])[: len(a)]
-            new = (h ^ char) * _MIX
+            new = h ^ before[ORDER - 1 - k : len(before) - k]
+            new *= _MIX
             new ^= new >> np.uint64(29)
-            h = np.where(pos >= k, new, h)
+            h = np.where(pos >= k, new, h) if k else new
             by[k + 1] = h
-    here = np.nonzero(pos > 0)[0]
+    here = np.flatnonzero(pos > 0)
     out = {"g7": by[ORDER][here], "c7": by[ORDER - 1][here - 1], "g4": by[MIDDLE][here], "c4": by[MIDDLE - 1][here - 1], "g2": by[LOW][here], "c2": by[LOW - 1][here - 1]}
-    starts = np.cumsum([0] + [len(w) + 1 for w in words[:-1]]) if words else np.zeros(0, dtype=int)
-    return out, starts, np.array([len(w) + 1 for w in words])
+    return out, marks - np.arange(len(marks)), lengths
 
 
 def _slots(h: np.ndarray, table: str) -> np.ndarray:
@@ -127,12 +132,13 @@ class Table:
     """Numbers by 64-bit hash; 0 where there is none. table[i, h] and table[:, h] take hashes as an array would places.
 
     The hashes are sorted; the first of those that begin with the same bits is known, and there are as many such
-    beginnings as hashes or more, so that a look-up takes a step or two at any size."""
+    beginnings as hashes or more, so that a look-up takes a step or two at any size. A hash's numbers lie side by side."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         order = np.argsort(keys)
         self.keys = np.append(keys[order], np.uint64(0xFFFFFFFFFFFFFFFF))  # at the end a row of zeros
-        self.values = np.concatenate([values[:, order], np.zeros((len(values), 1), np.float32)], axis=1)
+        self.values = np.zeros((len(self.keys), len(values)), np.float32)
+        self.values[:-1] = values[:, order].T
         self.bits = max(1, int(len(keys)).bit_length())
         n = np.bincount((keys >> np.uint64(64 - self.bits)).astype(np.int64), minlength=1 << self.bits)
         self.first = np.concatenate([[0], np.cumsum(n)]).astype(np.int32 if len(keys) < 2**31 else np.int64)
@@ -152,9 +158,13 @@ class Table:
 
     def __getitem__(self, what):
         if isinstance(what, tuple):
-            return self.values[what[0], self.at(what[1])]
+            return self.rows(self.at(what[1])).T[what[0]]
         return _Row(self, what)
 
+    def rows(self, at: np.ndarray) -> np.ndarray:
+        """The numbers at places that at() gave, a row for each."""
+        return self.values.take(at, axis=0)
+
     def __eq__(self, other):
         return np.array([np.array_equal(self.keys, other.keys), np.array_equal(self.values, other.values)])
 
@@ -199,10 +209,14 @@ class Model:
 
     def ratios(self, words: list[str]) -> np.ndarray:
         """log P(word | toxic) - log P(word | ordinary)."""
-        if not words:
-            return np.zeros(0)
+        return np.concatenate([np.zeros(0), *[self._ratios(words[at : at + PIECE]) for at in range(0, len(words), PIECE)]])
+
+    def _ratios(self, words: list[str]) -> np.ndarray:
         g, starts, _ = _grams(words)
-        s = {k: _slots(v, k) for k, v in g.items()}
+        # after a context that neither class has, both have the same probability
+        known = self.c7.at(_slots(g["c7"], "c7"))
+        here = np.flatnonzero(known < len(self.c7.keys) - 1)
+        s = {k: _slots(v[here], k) for k, v in g.items() if k != "c7"}
 
         def level(n, total, kinds, lower):
             """Interpolated Kneser-Ney, where the context is known."""
@@ -210,34 +224,54 @@ class Model:
             p = (np.maximum(n - DISCOUNT, 0) + DISCOUNT * np.minimum(kinds, total) * lower) / t
             return np.where(total > 0, p, lower)
 
-        p = level(self.g2[0, s["g2"]], *self.c2[:, s["c2"]], np.full(len(s["g2"]), 1 / SYMBOLS))
+        p = level(self.g2[0, s["g2"]], *self.c2[:, s["c2"]], np.full(len(here), 1 / SYMBOLS))
         p = level(self.g4[0, s["g4"]], *self.c4[:, s["c4"]], p)
         p = np.maximum(p, 1e-9)
-        c = self.c7[:, s["c7"]]
+        c = self.c7.rows(known[here]).T
         n = self.g7[:, s["g7"]]
         p0, p1 = (level(np.minimum(n[y], c[y]), c[y], c[2 + y], p) for y in (0, 1))
-        return np.add.reduceat(np.log(p1) - np.log(p0), starts)
-
-    def features(self, text: str | None, cache: dict[str, float]) -> list[float]:
-        words = Counter(doc_words(text))
-        if not words:
-            return [0.0] * N_FEATURES
-        new = [w for w in words if w not in cache]
+        each = np.zeros(len(known))
+        each[here] = np.log(p1) - np.log(p0)
+        return np.add.reduceat(each, starts)
+
+    def features(self, texts: Iterable[str | None], cache: dict[str, float]) -> np.ndarray:
+        """A row of N_FEATURES numbers for each text; zeros for texts without words."""
+        out, gathered, n = [np.zeros((0, N_FEATURES))], [], 0
+        for text in texts:
+            gathered.append(Counter(doc_words(text)))
+            n += len(gathered[-1])
+            if n >= GATHERED:
+                out.append(self._features(gathered, cache))
+                gathered, n = [], 0
+        return np.concatenate([*out, self._features(gathered, cache)])
+
+    def _features(self, texts: list[Counter], cache: dict[str, float]) -> np.ndarray:
+        out = np.zeros((len(texts), N_FEATURES))
+        some = np.array([i for i, words in enumerate(texts) if words], dtype=int)
+        if not len(some):
+            return out
+        words = list(chain.from_iterable(texts))
+        new = [w for w in dict.fromkeys(words) if w not in cache]
         if new:
             if len(cache) > MOST_CACHED:
                 cache.clear()
-                new = list(words)
+                new = list(dict.fromkeys(words))
             cache.update(zip(new, self.ratios(new).tolist(), strict=True))
-        r = np.array([cache[w] for w in words])
-        n = np.fromiter(words.values(), dtype=float)
-        size = np.fromiter(map(len, words), dtype=float) + 1
-        top = np.sort(r)[::-1]
-        root = np.sqrt(len(r))
-        return [
-            float((r * n).sum() / (size * n).sum()), float(r.sum() / size.sum()), float(top[0]), float(top[:3].sum()),
-            float(np.log1p(np.maximum(r - 1.5, 0).sum())), float(np.maximum(r - 1.5, 0).sum() / root), float(np.log(len(r))),
-            float((r > 2).sum() / root), float(np.maximum(r - 3, 0).sum() / root),
-        ]
+        r = np.fromiter(map(cache.__getitem__, words), float, len(words))
+        n = np.fromiter(chain.from_iterable(t.values() for t in texts), float, len(words))
+        size = np.fromiter(map(len, words), float, len(words)) + 1
+        many = np.array([len(texts[i]) for i in some])
+        first = np.cumsum(many) - many
+        total = lambda x: np.add.reduceat(x, first)
+        top = r[np.lexsort((-r, np.repeat(np.arange(len(some)), many)))]
+        best = [np.where(many > i, top[np.minimum(first + i, len(top) - 1)], 0) for i in range(3)]
+        root = np.sqrt(many)
+        over = total(np.maximum(r - 1.5, 0))
+        out[some] = np.stack([
+            total(r * n) / total(size * n), total(r) / total(size), best[0], best[0] + (best[1] + best[2]), np.log1p(over), over / root,
+            np.log(many), total((r > 2).astype(float)) / root, total(np.maximum(r - 3, 0)) / root,
+        ], axis=1)
+        return out
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> None:
         """Logistic regression by Newton's method with a small ridge."""
@@ -278,7 +312,7 @@ def train(docs: DataFrame, labels: DataFrame, calibration: int = CALIBRATION) ->
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache: dict[str, float] = {}
         for b in batches:
-            yield pd.DataFrame({"x": [shared.value.features(t, cache) for t in b["text"]], "y": b["toxic"].astype("int32")})
+            yield pd.DataFrame({"x": list(shared.value.features(b["text"], cache)), "y": b["toxic"].astype("int32")})
 
     got = picked.mapInPandas(lean(run), "x array<double>, y int").toPandas()
     if len(got) and got["y"].nunique() == 2:
@@ -301,7 +335,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         cache: dict[str, float] = {}
         m = shared.value
         for b in slices(batches):
-            x = np.array([m.features(t, cache) for t in b.column("text").to_pylist()], dtype=float).reshape(-1, N_FEATURES)
+            x = m.features(b.column("text").to_pylist(), cache)
             s = pa.array(np.round(m.score(x), 6))
             yield pa.RecordBatch.from_arrays([*b.columns, s], names=[*names, "toxic_score"])
 

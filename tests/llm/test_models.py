@@ -83,6 +83,34 @@ def test_counts_of_a_large_vocabulary_are_exact(spark):
     assert not m.g7[:, toxicity._slots(unknown["g7"], "g7")].any()
 
 
+def test_texts_are_scored_together(spark, monkeypatch):
+    """A few looks at the tables for many texts, and the same numbers as for each text by itself, which are held against plain sums."""
+    import random
+
+    r = random.Random(7)
+    word = lambda: "".join(r.choices("abcdeéж", k=r.randint(1, 12)))
+    texts = [" ".join(word() for _ in range(r.choice((0, 1, 2, 3, 60)))) for _ in range(300)] + [None, "", "12 _ 3", "\ud800 ab", "a" * 3000]
+    m = toxicity.Model(toxicity.counts(spark.createDataFrame([(t, i % 2) for i, t in enumerate(texts[:100])], "text string, toxic int")))
+    made, grams = [], toxicity._grams
+    monkeypatch.setattr(toxicity, "_grams", lambda words: made.append(len(words)) or grams(words))
+    together = m.features(texts, {})
+    assert len(made) <= 3 and together.shape == (len(texts), toxicity.N_FEATURES)
+    monkeypatch.setattr(toxicity, "MOST_CACHED", 50)
+    monkeypatch.setattr(toxicity, "GATHERED", 100)
+    monkeypatch.setattr(toxicity, "PIECE", 16)
+    cache = {}
+    assert np.allclose(together, m.features(texts, cache), rtol=0, atol=1e-9)
+    for t, x in zip(texts, together, strict=True):
+        n = toxicity.Counter(toxicity.doc_words(t))
+        w = np.array([m.ratios([v])[0] for v in n])
+        if not n:
+            assert not x.any()
+            continue
+        times, size, top = np.array(list(n.values())), np.array([len(v) + 1 for v in n]), sorted(w, reverse=True)
+        wanted = [(w * times).sum() / (size * times).sum(), w.sum() / size.sum(), top[0], sum(top[:3]), np.log1p(np.maximum(w - 1.5, 0).sum()), np.maximum(w - 1.5, 0).sum() / len(w) ** 0.5, np.log(len(w)), (w > 2).sum() / len(w) ** 0.5, np.maximum(w - 3, 0).sum() / len(w) ** 0.5]
+        assert np.allclose(x, wanted, rtol=0, atol=1e-9)
+
+
 def test_language_held_out(spark):
     d = langid.op10_language_id(spark, SF).toPandas()
     k = d.merge(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang").toPandas(), on="doc_id")
