@@ -18,6 +18,10 @@ SYM = r"[^\x00-\x7F\p{L}\p{Nd}]"
 LD = r"[\p{L}\p{Nd}]"
 WORD_CHAR = r"[\p{L}\p{Mn}\p{Nd}\p{Pc}]"
 
+# SYM with a bracket: one negated class is looked up faster than a class within a class
+_CLOSES = r"[^\x00-\x5C\x5E-\x7F\p{L}\p{Nd}]"
+_OPENS = r"[^\x00-\x5A\x5C-\x7F\p{L}\p{Nd}]"
+
 #: All characters that WS matches.
 SPACES = "\t\n\x0b\f\r \x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -52,7 +56,7 @@ def is_blank(c: Column) -> Column:
 
 
 def strip_italic_tags(c: Column) -> Column:
-    return trim(sub(c, r"(?i)</?i>", ""))
+    return trim(where(c, ["<"], lambda t: sub(t, r"(?i)</?i>", "")))
 
 
 def normalize_apostrophes(c: Column) -> Column:
@@ -67,13 +71,17 @@ def normalize_apostrophes(c: Column) -> Column:
 
 
 def fix_missing_word_breaks(c: Column) -> Column:
-    return sub(c, r"(?<=[a-z])(?=[A-Z])", " ")
+    return sub(c, r"[a-z](?=[A-Z])", "$0 ")
 
 
 def normalize_spacing(c: Column) -> Column:
-    """A space around bracketed terms and symbols, but none between a dash and what it introduces."""
-    c = sub(c, rf"([\]{SYM}])(?=[^ ])", "$1 ")
-    return trim(sub(c, rf"(?<=[^ \-])([\[{SYM}])", " $1"))
+    """A space around bracketed terms and symbols, but none between a dash and what it introduces.
+
+    Both sides in one pass: what has got a space after it needs none before what follows. Texts of ASCII signs without
+    brackets have neither terms nor symbols."""
+    spaced = lambda t: sub(t, rf"{_CLOSES}(?=[^ ])|[^ \-](?={_OPENS})", "$0 ")
+    plain = lambda t: (F.octet_length(t) == F.length(t)) & ~F.contains(t, F.lit("[")) & ~F.contains(t, F.lit("]"))
+    return trim(let(c, lambda t: F.when(plain(t), t).otherwise(spaced(t))))
 
 
 def normalize_unicode_ellipsis(c: Column) -> Column:
