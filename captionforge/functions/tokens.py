@@ -16,7 +16,7 @@ PUNCT = r"\x00-\x08\x0E-\x1F!-/:-@\\-`{-~\x7F"  # of ASCII, but for [
 _WORD = r"[A-Za-z0-9\p{L}\p{Nd}]"
 # Most tokens begin as the first form says; none gives back what it took.
 TOKEN = (
-    rf"[A-Za-z0-9]{_WORD}*+(?:'{_WORD}++)*+|\[[^\]]*\]|[^\x00-\x7F\p{{L}}\p{{Nd}}\p{{Z}}\x{{85}}]{SYM}*+|{CJK}"
+    rf"[A-Za-z0-9][a-z]*+{_WORD}*+(?:'{_WORD}++)*+|\[[^\]]*\]|[^\x00-\x7F\p{{L}}\p{{Nd}}\p{{Z}}\x{{85}}]{SYM}*+|{CJK}"
     rf"|[{PUNCT}\[][{PUNCT}]*+|{_WORD}++(?:'{_WORD}++)*+"
 )
 # Fixed value: a leading speaker tag.
@@ -29,8 +29,13 @@ ANSWER = T.StructType([T.StructField("classification", T.ArrayType(T.StringType(
 
 
 def tokens(text: Column) -> Column:
-    """array<string>."""
-    return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+    """array<string>. Spaces are taken with the token after them, as no form has then to be tried at a space."""
+    return F.regexp_extract_all(text, F.lit(f" *+({TOKEN})"), F.lit(1))
+
+
+def has_token(text: Column) -> Column:
+    """Is there a token? Whatever isn't white space begins one, so no pattern is needed."""
+    return F.ltrim(text, F.lit(SPACES)) != ""
 
 
 def spans(text: Column) -> Column:
@@ -69,7 +74,7 @@ def with_starts(text: Column) -> Column:
 
 
 def is_bracketed(t: Column) -> Column:
-    return (F.length(t) > 1) & t.startswith("[") & t.endswith("]")
+    return t.startswith("[") & t.endswith("]") & (F.length(t) > 1)
 
 
 def has_letter(t: Column) -> Column:
@@ -117,7 +122,7 @@ def usable_answer(raw: Column, toks: Column) -> Column:
 
 
 def is_italic(c: Column) -> Column:
-    return F.lower(c) == "i"
+    return c.isin("I", "i")
 
 
 def bridge_punctuation(cls: Column, toks: Column) -> Column:

@@ -14,11 +14,11 @@ TAKEN = r"(?:(?<=I)|(?!\A)\G)P(?!W)"
 
 def kinds(cls: Column, toks: Column) -> Column:
     """A letter for each token: I italic, W roman with a letter or digit, P other roman of ASCII signs, S any other."""
-    def kind(x: Column) -> Column:
-        plain = F.when(tk.has_letter(x.t), "W").when(tk.is_ascii_punct(x.t), "P").otherwise("S")
-        return F.when(F.coalesce(tk.is_italic(x.c), F.lit(False)), "I").otherwise(plain)
+    def kind(c: Column, i: Column) -> Column:
+        t = F.get(toks, i)
+        return F.when(tk.is_italic(c), "I").when(tk.has_letter(t), "W").when(tk.is_ascii_punct(t), "P").otherwise("S")
 
-    return F.array_join(F.transform(F.arrays_zip(cls.alias("c"), toks.alias("t")), kind), "")
+    return F.array_join(F.transform(cls, kind), "")
 
 
 def expand_boundaries(cls: Column, toks: Column) -> Column:

@@ -17,9 +17,10 @@ TIGHT = {0: "♪L♪", 2: "<i>♪L♪</i>", 3: "♪<i>L</i>♪"}
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """file_id, doc_id, line_no, raw, pattern and text. In files whose number 5 divides, even lines have ♫ for ♪."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    digits = F.regexp_extract("source", "[0-9]+", 0).alias("digits")
-    d = d.select("doc_id", F.col("source").alias("file_id"), digits, F.posexplode(F.split("text", "\n", -1)).alias("line_no", "raw"))
-    no = F.col("digits").cast("int")
+    # the file's number once a document: in one step with the lines it would be looked for in each of them
+    d = d.select("doc_id", F.col("source").alias("file_id"), F.regexp_extract("source", "[0-9]+", 0).cast("int").alias("no"), "text")
+    d = d.select("doc_id", "file_id", "no", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "raw"))
+    no = F.col("no")
     pattern = F.pmod(F.col("doc_id") * 31 + F.col("line_no"), F.lit(16)).cast("int")
     # looked up, not chosen by cases: a generated method that is too long for the JVM to compile stays interpreted
     parts = [form.split("L") for form in (*PATTERNS, *[TIGHT.get(i, form) for i, form in enumerate(PATTERNS)])]
@@ -27,7 +28,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     before, after = (F.get(F.array(*[F.lit(x[side]) for x in parts]), at) for side in (0, 1))
     text = F.concat(before, F.col("raw"), after)
     swap = (F.pmod(no, F.lit(5)) == 0) & (F.pmod(F.col("line_no"), F.lit(2)) == 0)
-    text = F.when(swap, F.translate(text, "♪", "♫")).otherwise(text)
+    text = F.when(swap, F.replace(text, F.lit("♪"), F.lit("♫"))).otherwise(text)
     return d.select("file_id", "doc_id", F.col("line_no").cast("long").alias("line_no"), "raw", pattern.alias("pattern"), text.alias("text"))
 
 

@@ -93,13 +93,13 @@ cls AS (SELECT *, CASE WHEN substr(md5(t || ':' || n), 1, 1) < 'b' THEN 'I' ELSE
 
 def _classes(toks: Column) -> Column:
     """A made-up classification: I or R by a hash of the token and its place (from 1)."""
-    h = lambda t, i: F.substring(F.md5(F.concat(t, F.lit(":"), (i + 1).cast("string"))), 1, 1)
+    h = lambda t, i: F.md5(F.concat(t, F.lit(":"), (i + 1).cast("string")))  # noqa: E731  (the first digit decides)
     return F.transform(toks, lambda t, i: F.when(h(t, i) < "b", F.lit("I")).otherwise(F.lit("R")))
 
 
 def _classed(spark, d) -> DataFrame:
-    """Lines with tokens. The filter stops at the first token, as tokens that it counts would be taken twice."""
-    x = corpus.lines(spark, d).filter(F.col("text").rlike(tk.TOKEN)).withColumn("toks", tk.tokens(F.col("text")))
+    """Lines with tokens, which are those that aren't blank: the filter takes no tokens, as they would be taken twice."""
+    x = corpus.lines(spark, d).filter(tk.has_token(F.col("text"))).withColumn("toks", tk.tokens(F.col("text")))
     return x.withColumn("cls", _classes(F.col("toks")))
 
 

@@ -104,3 +104,32 @@ def test_starts_slice_no_array_for_each_token(spark):
     assert all(x.t[y.start : y.start + len(y.text)] == y.text for x in got if x.s for y in x.s)
     assert all([y.start for y in x.s] == sorted({y.start for y in x.s}) for x in got if x.s)
     assert got[2].s == [] and got[3].s is None
+
+
+@pytest.mark.parametrize("name", ["q_expand_italics", "q_bridge_punct", "q_promote", "q_track_subtitles"])
+def test_a_file_number_is_looked_for_once_a_document(spark, sf, name):
+    p = plan(q.QUERIES[name](spark, sf))
+    assert p.count("regexp_extract(source") == 1 and p.index("regexp_extract(source") > p.index("posexplode(")  # below the lines
+
+
+@pytest.mark.parametrize("name", ["q_expand_italics", "q_bridge_punct", "q_promote"])
+def test_token_queries_filter_without_patterns(spark, sf, name):
+    p = plan(q.QUERIES[name](spark, sf))
+    assert not re.search(r"\bFilter .*RLIKE", p) and "arrays_zip" not in (p if name == "q_expand_italics" else "")
+
+
+def test_tokens_equal_their_plain_form(spark):
+    d = spark.createDataFrame([(x,) for x in [*texts(4000), " ", "\t \x85 ", " \t a", "éa b", "\x07", "　。"]], "t string").cache()
+    t = F.col("t")
+    assert d.filter(~tk.tokens(t).eqNullSafe(F.regexp_extract_all(t, F.lit(tk.TOKEN), F.lit(0)))).isEmpty()
+    assert d.filter(~tk.has_token(t).eqNullSafe(t.rlike(tk.TOKEN))).isEmpty()
+    assert 'regexp_extract_all(t' in plan(d.select(tk.tokens(t))) and " *+(" in plan(d.select(tk.tokens(t)))
+
+
+def test_spacing_is_one_pass_and_skips_plain_texts(spark):
+    d = spark.createDataFrame([(x,) for x in texts(4000, 12)], "t string").cache()
+    p = plan(d.select(tr.normalize_spacing(F.col("t")).alias("x"))).lower()
+    assert p.count("regexp_replace(") == 1 and "octet_length(" in p
+    plain = {"t1": lambda c: tr.trim(tr.sub(c, r"(?i)</?i>", "")), "t3": lambda c: tr.sub(c, r"(?<=[a-z])(?=[A-Z])", " "), "t4": PLAIN["t4"]}
+    for name, old in plain.items():
+        assert d.filter(~tr.STEPS[name](F.col("t")).eqNullSafe(old(F.col("t")))).isEmpty(), name
